@@ -26,7 +26,8 @@ def _spans(length: Column, n: int) -> Column:
 def _word_spans(toks: Column, n: int) -> Column:
     if n == 1:
         return toks
-    return F.transform(_spans(F.size(toks), n), lambda i: F.array_join(F.slice(toks, i, n), " "))
+    return F.transform(_spans(F.size(toks), n), lambda i: F.concat_ws(
+        " ", *[toks[i + (j - 1)] for j in range(n)]))
 
 
 def _char_spans(padded: Column, n: int) -> Column:

@@ -47,23 +47,25 @@ _CP1252_ONLY = "^[\\x00-\\x7F\\xA0-\\xFF" + _CP1252_CHARS + "]*$"
 _LATIN1_ONLY = "^[\\x00-\\xFF]*$"
 
 
+_MARKED = "[" + "".join(K.MOJIBAKE_MARKERS) + "]"
+
+
 def fix_mojibake(text: Column) -> Column:
     """Undo UTF-8 text that was read as code page 1252 or Latin-1; other text is unchanged.
 
     The bytes are rebuilt with a translate (1252's extra characters to their byte values) and a
     Latin-1 encode, and accepted only if they are valid UTF-8.  Each branch is reached only for
-    text the code page can hold, so ``encode`` never fails.
+    text the code page can hold, so ``encode`` never fails.  Unmarked text costs one search.
     """
-    marked = text.rlike("[" + "".join(K.MOJIBAKE_MARKERS) + "]")
     as_1252 = F.when(
-        marked & text.rlike(_CP1252_ONLY),
+        text.rlike(_CP1252_ONLY),
         F.encode(F.translate(text, _CP1252_CHARS, _CP1252_BYTES), "ISO-8859-1").cast("string"),
     )
     as_latin1 = F.when(
-        marked & text.rlike(_LATIN1_ONLY), F.encode(text, "ISO-8859-1").cast("string")
+        text.rlike(_LATIN1_ONLY), F.encode(text, "ISO-8859-1").cast("string")
     )
     return (
-        F.when(~marked, text)
+        F.when(~text.rlike(_MARKED), text)
         .when(F.is_valid_utf8(as_1252), as_1252)
         .when(F.is_valid_utf8(as_latin1), as_latin1)
         .otherwise(text)
@@ -97,14 +99,20 @@ def _compose():
     return F.pandas_udf(compose, StringType())
 
 
+def _may_change_under_nfc(text: Column) -> Column:
+    # Nothing below U+0300 changes under NFC, so one cheap search settles ordinary text.
+    return text.rlike("[^\\x00-\\x{2FF}]") & text.rlike(_NFC_GUARD)
+
+
 def nfc(text: Column) -> Column:
-    """Unicode composition (NFC).
+    """Unicode composition (NFC); text it cannot change is never sent to Python."""
+    return F.coalesce(_compose()(F.when(_may_change_under_nfc(text), text)), text)
 
-    Nothing below U+0300 changes under NFC, so two cheap tests keep ordinary text out of Python;
-    the Arrow function sees a null for such rows.
-    """
-    needed = text.rlike("[^\\x00-\\x{2FF}]") & text.rlike(_NFC_GUARD)
-    return F.coalesce(_compose()(F.when(needed, text)), text)
+
+def repair(text: Column) -> Column:
+    """Mojibake repair, then composition; the Arrow function sees a null for clean text."""
+    needed = text.rlike(_MARKED) | _may_change_under_nfc(text)
+    return F.coalesce(_compose()(F.when(needed, fix_mojibake(text))), text)
 
 
 def strip_symbols(text: Column) -> Column:
@@ -114,27 +122,28 @@ def strip_symbols(text: Column) -> Column:
 
 # ---------------------------------------------------------------------------------- normalise
 
-def normalize(text: Column, compose: bool = True) -> Column:
-    """The one normal form used for keys, features and queries.
+def normal_form(repaired: Column) -> Column:
+    """Normal form of repaired text; built-in functions only.
 
-    ``compose=False`` leaves out the NFC step (and with it the Python function) for text that is
-    known to be composed, e.g. names out of a taxonomy.
+    Every look-behind stands after the character that starts a match, so the search runs on that
+    character and not on each position.
     """
-    t = fix_mojibake(text)
-    if compose:
-        t = nfc(t)
-    t = F.regexp_replace(t, K.TAG_PATTERN, " ")
+    t = F.regexp_replace(repaired, K.TAG_PATTERN, " ")
     t = F.regexp_replace(t, K.URL_PATTERN, " ")
-    t = F.regexp_replace(t, f"(?<!{_W})@{_W}+", " ")
-    t = F.regexp_replace(t, f"(?<!{_W})#({_W}+)", "$1")
-    t = F.regexp_replace(t, f"({_W})['’`´]({_W}+)", "$1")
+    t = F.regexp_replace(t, f"@(?<!{_W}@){_W}+", " ")
+    t = F.regexp_replace(t, f"#(?<!{_W}#)(?={_W})", "")
+    t = F.regexp_replace(t, f"['’`´](?<={_W}['’`´]){_W}+", "")
     t = strip_symbols(t)
     t = turkish_lower(t)
-    t = F.regexp_replace(t, f"(?<!{_W})\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)?(?!{_W})", " ")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " ")
-    t = F.regexp_replace(t, "_+", " ")
-    t = F.regexp_replace(t, "̇", "")
-    return squeeze(t)
+    t = F.regexp_replace(
+        t, f"\\p{{Nd}}(?<!{_W}\\p{{Nd}})\\p{{Nd}}*(?:[.,]\\p{{Nd}}+)?(?!{_W})", " ")
+    # Punctuation, underscores, stray combining marks and white space all end up as one blank.
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
+
+
+def normalize(text: Column) -> Column:
+    """The one normal form used for keys, features and queries: repair, then normal form."""
+    return normal_form(repair(text))
 
 
 def words(normalized: Column) -> Column:
@@ -174,10 +183,10 @@ def stemmed_stopwords(stopwords: Sequence[str] = K.STOPWORDS, length: int = 5) -
     return sorted({w[:length] for w in stopwords})
 
 
-def term_group(term: Column, length: int = 6, compose: bool = True) -> Column:
+def term_group(term: Column, length: int = 6) -> Column:
     """Group key of a term: the first letters of each normalised word."""
     return F.array_join(
-        F.transform(words(normalize(term, compose)), lambda w: F.substring(w, 1, length)), " ")
+        F.transform(words(normalize(term)), lambda w: F.substring(w, 1, length)), " ")
 
 
 # ---------------------------------------------------------------------------------- input shape
