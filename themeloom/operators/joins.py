@@ -41,17 +41,19 @@ def running_total(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequenc
     """Running sum per key without giving a whole key to one task.
 
     ``chunk`` is a column that cuts a key into ordered runs (equal or rising with the order).
-    Sums run inside (key, chunk); the totals of earlier chunks are added from a table with one
-    row per chunk.
+    Sums run inside (key, chunk); the totals of earlier chunks come from a table with one row per
+    chunk.  Keys that fit one chunk need nothing from that table, so it stays small enough for
+    adaptive execution to broadcast unless there really are long keys.
     """
     last = 0 if inclusive else -1
     inner = (Window.partitionBy(*keys, chunk).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, last))
     local = df.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     totals = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_chunk_total"))
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1)))
-    before = before.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, chunk, F.coalesce(F.sum("_chunk_total").over(before), F.lit(0)).alias("_before"))
-    return (local.join(offsets, [*keys, chunk])
-            .withColumn(name, F.col("_local") + F.col("_before")).drop("_local", "_before"))
+        *keys, chunk, F.sum("_chunk_total").over(before).alias("_before")).filter(
+            F.coalesce("_before", F.lit(0)) != 0)
+    return (local.join(offsets, [*keys, chunk], "left")
+            .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
+            .drop("_local", "_before"))
