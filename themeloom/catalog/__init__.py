@@ -1 +1,6 @@
+"""Registered queries over the driver tables."""
 
+from themeloom.catalog import models, texts  # noqa: F401
+from themeloom.catalog.common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -125,14 +125,15 @@ def strip_symbols(text: Column) -> Column:
 def normal_form(repaired: Column) -> Column:
     """Normal form of repaired text; built-in functions only.
 
-    Every look-behind stands after the character that starts a match, so the search runs on that
+    Look-behinds stand after the character that starts a match, so the search runs on that
     character and not on each position.
     """
     t = F.regexp_replace(repaired, K.TAG_PATTERN, " ")
     t = F.regexp_replace(t, K.URL_PATTERN, " ")
     t = F.regexp_replace(t, f"@(?<!{_W}@){_W}+", " ")
     t = F.regexp_replace(t, f"#(?<!{_W}#)(?={_W})", "")
-    t = F.regexp_replace(t, f"['’`´](?<={_W}['’`´]){_W}+", "")
+    # The letter before an apostrophe is consumed: of two suffixes in a row only the first goes.
+    t = F.regexp_replace(t, f"({_W})['’`´]{_W}+", "$1")
     t = strip_symbols(t)
     t = turkish_lower(t)
     t = F.regexp_replace(

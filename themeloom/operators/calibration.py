@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 from themeloom.functions.decisions import softmax
 
 
-def nll(logits: Column, target: Column, temperature: float) -> Column:
+def nll(logits: Column, target: Column, temperature: float | Column) -> Column:
     """-log of the probability of the true class (0-based index); 1e-12 keeps it finite."""
     return -F.log(softmax(logits, temperature)[target] + F.lit(1e-12))
 
 
 def nll_grid(scored: DataFrame, temperatures: Sequence[float], logits: str = "logits",
              target: str = "target") -> DataFrame:
-    """(temperature, nll) for all temperatures from one pass: one aggregate per temperature."""
-    row = scored.agg(*[F.avg(nll(F.col(logits), F.col(target), t)).alias(f"t{i}")
-                       for i, t in enumerate(temperatures)])
-    return row.select(F.explode(F.array(*[
-        F.struct(F.lit(float(t)).alias("temperature"), F.col(f"t{i}").alias("nll"))
-        for i, t in enumerate(temperatures)])).alias("g")).select("g.*")
+    """(temperature, nll) for all temperatures from one pass over the logits.
+
+    Each row meets every temperature inside its task and is averaged there; only one partial
+    average per temperature and task is shuffled.
+    """
+    grid = F.array(*[F.lit(float(t)) for t in temperatures])
+    each = scored.select(F.col(logits).alias("_z"), F.col(target).alias("_y"),
+                         F.explode(grid).alias("temperature"))
+    return each.groupBy("temperature").agg(
+        F.avg(nll(F.col("_z"), F.col("_y"), F.col("temperature"))).alias("nll"))
 
 
 def fit_temperature(scored: DataFrame, low: float = 0.05, high: float = 10.0, points: int = 33,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
@@ -120,8 +121,11 @@ class SoftmaxTrainer:
     def _as_model(self, fitted: LogisticRegressionModel) -> TopicModel:
         spark = self.rows.sparkSession
         matrix = fitted.coefficientMatrix.toArray().T
-        weights = spark.createDataFrame(pd.DataFrame(
-            {"index": range(len(matrix)), "w": list(matrix)}), "index int, w array<double>")
+        rows, k = matrix.shape
+        weights = spark.createDataFrame(pa.table({
+            "index": pa.array(np.arange(rows, dtype="int32")),
+            "w": pa.ListArray.from_arrays(np.arange(0, rows * k + 1, k, dtype="int32"),
+                                          np.ascontiguousarray(matrix).ravel())}))
         terms = materialize(self.indexed.join(weights, "index").select(
             "analyzer", "term", "df", "idf", "w"))
         return TopicModel(tuple(self.vectorizer.blocks), self.vectorizer.n_docs, terms,
