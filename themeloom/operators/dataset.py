@@ -14,6 +14,7 @@ from themeloom.functions import decisions as D
 from themeloom.functions import text
 from themeloom.operators.joins import seeded_order
 from themeloom.operators.splitting import nested_split
+from themeloom.session import materialize
 
 RECORD_COLUMNS = ("text", "general", "subtopic", "category", "term", "group", "source")
 
@@ -137,7 +138,7 @@ def unseen_categories(records: DataFrame, seed: int = K.SEED,
     ``fraction`` of them is drawn (rounded half to even); half of those, rounded down, tune the
     threshold ("ood_val"), the rest only evaluate ("ood_unseen").
     """
-    names = records.filter(F.col("general") == other).select("category").distinct()
+    names = materialize(records.filter(F.col("general") == other).select("category").distinct())
     drawn = round(names.count() * fraction)
     unseen = sample_categories(names, drawn, seed)
     val = sample_categories(unseen, drawn // 2, seed + 1)
@@ -150,8 +151,10 @@ def split_records(records: DataFrame, seed: int = K.SEED, test: float = K.TEST_S
                   other: str = K.OTHER_LABEL) -> DataFrame:
     """Records with ``split``: train, val, test (by term group) and ood_val, ood_unseen.
 
-    Out-of-taxonomy rows whose term group also occurs in seen data are dropped.
+    Out-of-taxonomy rows whose term group also occurs in seen data are dropped.  The records are
+    written first: categories, groups and rows each read them.
     """
+    records = materialize(records)
     unseen = unseen_categories(records, seed, fraction, other)
     tagged = records.join(unseen, "category", "left")
     seen = tagged.filter(F.col("role").isNull()).drop("role")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from themeloom import constants as K
 from themeloom.operators import dataset, similarity
 from themeloom.operators.dataset import RECORD_COLUMNS, Taxonomy
-from themeloom.session import materialize
 
 
 def build_splits(cards: DataFrame, taxonomy: Taxonomy, order_col: str, source: str = "cards",
@@ -20,8 +19,7 @@ def build_splits(cards: DataFrame, taxonomy: Taxonomy, order_col: str, source: s
     """All records with ``split``: train (with taxonomy seeds), val, test, ood_val, ood_unseen,
     external."""
     records = dataset.to_records(cards, taxonomy, source, [order_col])
-    # Read three times below: once for the categories, twice by the split.
-    clean = materialize(dataset.dedup_conflicts(records, order_col))
+    clean = dataset.dedup_conflicts(records, order_col)
     splits = dataset.split_records(clean, seed, other=taxonomy.other).select(
         *RECORD_COLUMNS, "split")
     seeds = dataset.taxonomy_seeds(cards.sparkSession, taxonomy).withColumn("split", F.lit("train"))

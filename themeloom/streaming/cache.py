@@ -33,7 +33,7 @@ def stream_cache(log: DataFrame, key: str, ts: str, id_col: str,
         for row in batch.itertuples(index=False):
             hit = stamp is not None and row.t - stamp <= ttl
             if not hit:
-                stamp = row.t
+                stamp = int(row.t)
             out.append((row.id, group[0], hit, stamp))
         state.update((stamp,))
         expires = (stamp + ttl) // 1_000 + 1

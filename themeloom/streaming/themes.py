@@ -17,13 +17,15 @@ def stream_scores(scored: DataFrame, general: Sequence[str],
                   subtopics: Sequence[tuple[str, str]] = (), decay: float = K.DECAY,
                   conversation: str = "conv_id", turn: str = "turn", reset: str = "reset",
                   scores_col: str = "general_scores", joint_col: str = "joint_subtopic_scores",
-                  idle_ms: int = 24 * 3_600_000) -> DataFrame:
+                  idle_ms: int | None = 24 * 3_600_000) -> DataFrame:
     """Streaming twin of segmenting plus decayed sums; the same columns as the batch result.
 
     State per conversation is one array of sums, a session number, a message index and the last
     turn seen: its size depends on the labels, not on the messages.  A reset clears the sums and
     opens the next session; rows without scores (no content) are skipped; turns at or before the
     last one seen are counted as late and dropped; idle conversations expire after ``idle_ms``.
+    Pass None when a finite backlog is replayed: the clock-driven expiry would keep an
+    ``availableNow`` run going for ever.
     """
     zero = F.lit(0.0)
     wide = scored.select(
@@ -41,7 +43,7 @@ def stream_scores(scored: DataFrame, general: Sequence[str],
             return
         if state.exists:
             session, index, last, late, sums = state.get
-            sums = list(sums)
+            sums = [float(s) for s in sums]
         else:
             session, index, last, late, sums = 0, 0, -1, 0, [0.0] * width
         out = []
@@ -50,15 +52,16 @@ def stream_scores(scored: DataFrame, general: Sequence[str],
             if row.turn <= last:
                 late += 1
                 continue
-            last = row.turn
+            last = int(row.turn)
             if row.reset:
                 session, index, sums = session + 1, 0, [0.0] * width
             elif row.content:
                 index += 1
-                sums = [s * decay + x for s, x in zip(sums, row.p, strict=True)]
-                out.append((int(key[0]), int(row.turn), session, index, late, list(sums)))
+                sums = [s * decay + float(x) for s, x in zip(sums, row.p, strict=True)]
+                out.append((int(key[0]), last, session, index, late, list(sums)))
         state.update((session, index, last, late, sums))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conv", "turn", "session_no", "message_index",
                                          "late_turns", "sums"])
 
@@ -67,7 +70,8 @@ def stream_scores(scored: DataFrame, general: Sequence[str],
         "conv long, turn long, session_no long, message_index long, late_turns long, "
         "sums array<double>",
         "session long, idx long, last long, late long, sums array<double>",
-        "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "append", GroupStateTimeout.NoTimeout if idle_ms is None
+        else GroupStateTimeout.ProcessingTimeTimeout)
     spread = result.select(
         F.col("conv").alias(conversation), F.col("turn").alias(turn), "session_no",
         "message_index", "late_turns",
