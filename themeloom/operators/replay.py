@@ -90,7 +90,7 @@ def _double(times: DataFrame, gap_us: int, strict: bool) -> DataFrame:
     return reached.join(times, ["key", "t"]).select("key", "t", "id")
 
 
-def _cover(events: DataFrame, chain: DataFrame, gap_us: int, strict: bool) -> DataFrame:
+def covered_events(events: DataFrame, chain: DataFrame, gap_us: int, strict: bool) -> DataFrame:
     """Events with the anchor that covers them (``_a``, ``_aid``), null where none does.
 
     Anchors are more than a gap apart, so at most two can cover a slice as wide as the gap.
@@ -108,24 +108,32 @@ def _cover(events: DataFrame, chain: DataFrame, gap_us: int, strict: bool) -> Da
         "e.*", "c._a", "c._aid").drop("_slice")
 
 
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a time column with or without a time zone."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"),
+                                F.col(ts))
+    return F.unix_micros(ts)
+
+
 def _as_events(df: DataFrame, key: str, ts: str, id_col: str) -> DataFrame:
-    return df.select(F.col(key).alias("key"), F.unix_micros(ts).alias("t"),
+    return df.select(F.col(key).alias("key"), micros(df, ts).alias("t"),
                      F.col(id_col).alias("id"))
 
 
 def replay_cache(log: DataFrame, key: str, ts: str, id_col: str,
                  ttl_hours: float = K.CACHE_TTL_HOURS) -> DataFrame:
-    """(id, key, hit, cached_at): each lookup of an ordered query log against its cache.
+    """(id, key, hit, cached_us): each lookup of an ordered query log against its cache.
 
     A miss stores the result; a hit leaves the stamp; an entry is stale once older than the
     lifetime.
     """
     gap = int(ttl_hours * 3_600_000_000)
     events = _as_events(log, key, ts, id_col)
-    covered = _cover(events, anchors(events, gap, True), gap, True)
+    covered = covered_events(events, anchors(events, gap, True), gap, True)
     miss = (F.col("t") == F.col("_a")) & (F.col("id") == F.col("_aid"))
     return covered.select(F.col("id").alias(id_col), F.col("key").alias(key),
-                          (~miss).alias("hit"), F.timestamp_micros("_a").alias("cached_at"))
+                          (~miss).alias("hit"), F.col("_a").alias("cached_us"))
 
 
 def apply_cooldown(attempts: DataFrame, key: str, ts: str, id_col: str, failed: Column,
@@ -137,7 +145,7 @@ def apply_cooldown(attempts: DataFrame, key: str, ts: str, id_col: str, failed:
     gap = int(cooldown_seconds * 1_000_000)
     failures = _as_events(attempts.filter(failed), key, ts, id_col)
     events = _as_events(attempts, key, ts, id_col)
-    covered = _cover(events, anchors(failures, gap, False), gap, False)
+    covered = covered_events(events, anchors(failures, gap, False), gap, False)
     after = F.col("_a").isNotNull() & ((F.col("t") > F.col("_a")) | (F.col("id") > F.col("_aid")))
     return covered.select(F.col("id").alias(id_col), F.col("key").alias(key),
                           after.alias("suppressed"))
