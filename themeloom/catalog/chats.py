@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from themeloom.catalog.common import (
     FORMS, HEADS, JOINT_CLASSES, OTHER, STOPWORDS, in_list, labelled, nb_ctes, nb_scores, norm,
-    query, table, words,
+    query, table, texts, words,
 )
 from themeloom.functions import phrases, text
 from themeloom.functions.decisions import general_names, split_class
@@ -82,7 +82,8 @@ def _segments(spark, sf):
 
 
 def _model(spark, sf):
-    return linear.train_naive_bayes(labelled(spark, sf), [word_block((), 1)]).with_decision(
+    return linear.train_naive_bayes(labelled(spark, sf), [word_block((), 1)],
+                                    write_counts=True).with_decision(
         1.0, MIN_CONFIDENCE)
 
 
@@ -196,7 +197,7 @@ def _form(token: str) -> str:
     unnest({words(norm('text'))}) AS token FROM documents)""")
 def query_forms(spark, sf):
     """Search form of every distinct word of the documents."""
-    tokens = table(spark, sf, "documents").select(
+    tokens = texts(spark, sf, "documents").select(
         text.normalize(F.col("text")).alias("n")).select(
         F.explode(text.words(F.col("n"))).alias("token")).distinct()
     return tokens.select("token", phrases.query_form(F.col("token")).alias("form"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import text
 from themeloom.operators.dataset import Taxonomy
+from themeloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are worked on row by row, spread over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 # Frequent function words of the four languages in the tables.
 STOPWORDS = (
     "the", "and", "of", "to", "in", "that", "is", "for", "with", "on", "as", "at", "by",
@@ -67,7 +73,7 @@ HEADS = {"en": "volumes"}
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as cards: category, term (the first two words), definition."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return docs.select(
         "doc_id", F.concat_ws("-", "lang", "source").alias("category"),
         F.array_join(F.slice(F.split(text.squeeze(F.col("text")), " "), 1, 2), " ").alias("term"),

@@ -13,6 +13,7 @@ from themeloom.functions import decisions as D
 from themeloom.operators import calibration, features, linear, metrics, softmax
 from themeloom.operators.features import word_block
 from themeloom.plans import evaluate
+from themeloom.session import materialize
 
 CLASSES = JOINT_CLASSES
 MIN_CONFIDENCE = 0.6
@@ -56,8 +57,12 @@ def _decided(id_col: str) -> str:
   FROM qd LEFT JOIN qb ON qb.doc_id = qd.doc_id AND qb.general = qd.argmax""")
 def nb_predict(spark, sf):
     """Train on all documents, decide every whole document."""
-    model = _bayes(spark, sf, 2).with_decision(1.0, MIN_CONFIDENCE)
-    out = linear.decisions(model, table(spark, sf, "documents"), other=OTHER)
+    docs = labelled(spark, sf)
+    block = word_block(())
+    counts = {block.name: materialize(features.term_counts(docs, block, keep=["label"]))}
+    model = linear.train_naive_bayes(docs, [block], counts=counts).with_decision(
+        1.0, MIN_CONFIDENCE)
+    out = linear.decisions(model, docs, other=OTHER, counts=counts)
     return out.withColumn("confidence", F.round("confidence", 4))
 
 
@@ -159,7 +164,7 @@ def _messages(spark, sf):
   FROM msg JOIN qd USING (id) JOIN gs USING (id) LEFT JOIN st USING (id)""")
 def predict_messages(spark, sf):
     """The full prediction record of chat messages."""
-    model = _bayes(spark, sf).with_decision(1.0, MIN_CONFIDENCE)
+    model = _bayes(spark, sf, write_counts=True).with_decision(1.0, MIN_CONFIDENCE)
     p = linear.predict(model, _messages(spark, sf), "id", stopwords=STOPWORDS, other=OTHER,
                        uncertain="unsure")
     scores = F.array_join(F.transform(

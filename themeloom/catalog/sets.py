@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from themeloom.catalog.common import (
     EXCLUDED, OTHER, OVERRIDE, TAXONOMY, TOPICS, cards, char_counts, idf, in_list,
-    norm, query, rr, table, tfidf, words,
+    norm, query, rr, table, texts, tfidf, words,
 )
 from themeloom.functions import text
 from themeloom.operators import dataset, similarity, splitting
@@ -195,7 +195,7 @@ def leakage_counts(spark, sf):
     WHERE o.k = t.k AND NOT o.ref) GROUP BY lang""".replace("NORM", norm("text")))
 def shared_texts(spark, sf):
     """Texts that occur on both sides of a plain split, by language."""
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "documents").select(
         "lang", (F.col("doc_id") % 3 == 0).alias("ref"), text.normalize(F.col("text")).alias("k"))
     ref = docs.filter("ref").select("lang", "k").distinct()
     rest = docs.filter(~F.col("ref")).select("k").distinct()
@@ -223,7 +223,7 @@ def _near_sql(reference: str, questions: str, id_col: str) -> str:
   SELECT item_id, item_id IN (SELECT item_id FROM hits) AS near_copy FROM q""")
 def near_copies_external(spark, sf):
     """Benchmark passages and one source against all other documents."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     mine = docs.filter("source = 'src1'").select((F.col("doc_id") + 1_000_000).alias("item_id"),
                                                  "text")
     asked = table(spark, sf, "benchmark").select("item_id", "text").unionByName(mine)
@@ -254,7 +254,7 @@ _SENTENCES = f"""
 @query(f"WITH {_SENTENCES} SELECT source, sentence, i FROM sm")
 def sentence_sample(spark, sf):
     """400 seeded sentences of 6 to 40 words per source (the operator samples)."""
-    return dataset.sentence_sample(table(spark, sf, "documents"))
+    return dataset.sentence_sample(texts(spark, sf, "documents"))
 
 
 @query(f"""WITH {_SENTENCES} SELECT sentence AS text, CASE source WHEN 'src1' THEN 'en' ELSE 'fr'

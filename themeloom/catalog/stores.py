@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from themeloom import constants as K
-from themeloom.catalog.common import norm, query, rr, table
+from themeloom.catalog.common import norm, query, rr, table, texts
 from themeloom.functions import text
 from themeloom.operators import replay
 from themeloom.session import materialize, working_dir
@@ -37,7 +37,7 @@ _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages").select(
         "page_id", "url", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
         "html", F.floor(F.col("page_id") / 5).alias("query_id"))
 
@@ -204,7 +204,7 @@ def cache_upsert(spark, sf):
 def cache_keys(spark, sf):
     """Distinct cache keys when each document's first sentence is asked as a query."""
     first = F.expr("substring(text, 1, locate('.', text))")
-    keyed = table(spark, sf, "documents").select("lang", text.normalize(first).alias("key"))
+    keyed = texts(spark, sf, "documents").select("lang", text.normalize(first).alias("key"))
     return keyed.groupBy("lang").agg(F.count_distinct("key").alias("keys"),
                                      F.count(F.lit(1)).alias("n"))
 

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from themeloom.catalog.common import (
-    STOPWORDS, char_counts, idf, in_list, norm, query, rr, table, tfidf, word_counts, words,
+    STOPWORDS, char_counts, idf, in_list, norm, query, rr, table, texts, tfidf, word_counts, words,
 )
 from themeloom.functions import text
 from themeloom.operators import features
@@ -21,14 +21,14 @@ _STRIP = r"regexp_replace(text, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
 
 @query(f"SELECT doc_id, {norm('text')} AS norm FROM documents")
 def normalize_docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalize(F.col("text"))
+    return texts(spark, sf, "documents").select("doc_id", text.normalize(F.col("text"))
                                                 .alias("norm"))
 
 
 @query(f"""SELECT doc_id, array_to_string({_TOKENS}, ' ') AS tokens,
            length({_CONTENT}) AS n_content FROM documents""")
 def tokenize_docs(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("n"))
+    docs = texts(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("n"))
     return docs.select("doc_id", F.array_join(text.tokens(F.col("n")), " ").alias("tokens"),
                        F.size(text.content_tokens(F.col("n"), STOPWORDS)).alias("n_content"))
 
@@ -36,7 +36,7 @@ def tokenize_docs(spark, sf):
 @query(f"""SELECT doc_id, array_to_string(list_transform({words(norm('text'))},
            lambda w: substring(w, 1, 5)), ' ') AS stems FROM documents""")
 def f5_docs(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", text.f5_preprocess(text.normalize(F.col("text"))).alias("stems"))
 
 
@@ -45,9 +45,9 @@ def f5_docs(spark, sf):
            UNION ALL SELECT 'conversations', conv_id * 1000 + turn, length({_CONTENT}) > 0
            FROM conversations""")
 def content_filter(spark, sf):
-    docs = table(spark, sf, "documents").select(F.lit("documents").alias("src"),
+    docs = texts(spark, sf, "documents").select(F.lit("documents").alias("src"),
                                                 F.col("doc_id").alias("id"), "text")
-    turns = table(spark, sf, "conversations").select(
+    turns = texts(spark, sf, "conversations").select(
         F.lit("conversations").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         "text")
     return docs.unionByName(turns).select(
@@ -58,14 +58,14 @@ def content_filter(spark, sf):
            length({_STRIP}) > 5000 AS truncated FROM documents""")
 def clip_inputs(spark, sf):
     """The scorer's input limit, which the interactive prediction applies and reports."""
-    docs = table(spark, sf, "documents").select("doc_id", text.clip(F.col("text")).alias("c"))
+    docs = texts(spark, sf, "documents").select("doc_id", text.clip(F.col("text")).alias("c"))
     return docs.select("doc_id", F.md5("c.text").alias("clipped"), "c.truncated")
 
 
 @query("SELECT doc_id, text AS repaired FROM documents")
 def repair_mojibake(spark, sf):
     """Texts read with the wrong code page come back as they were."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return docs.select("doc_id", broken.alias("b")).select(
         "doc_id", text.fix_mojibake(F.col("b")).alias("repaired"))
@@ -78,7 +78,7 @@ def compose_accents(spark, sf):
     for whole in "éèêçüöäñó":
         parts = unicodedata.normalize("NFD", whole)
         split = F.replace(split, F.lit(whole), F.lit(parts))
-    docs = table(spark, sf, "documents").select("doc_id", split.alias("s"))
+    docs = texts(spark, sf, "documents").select("doc_id", split.alias("s"))
     return docs.select("doc_id", text.nfc(F.col("s")).alias("composed"))
 
 
@@ -118,7 +118,7 @@ def _cut(column: str, limit: int) -> str:
 @query(f"""SELECT page_id, {_cut('t', 400)} AS summary, md5(t) AS digest
            FROM (SELECT page_id, {_plain('html')} AS t FROM pages)""")
 def page_clean_text(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = texts(spark, sf, "pages")
     return pages.select("page_id", text.clean_text(F.col("html"), 400).alias("summary"),
                         F.md5(text.clean_text(F.col("html"), 1_000_000_000)).alias("digest"))
 
@@ -130,7 +130,7 @@ _HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
              ({_HOST} IN ('example.com', 'example.org') OR {_HOST} LIKE '%.example.com'
               OR {_HOST} LIKE '%.example.org') AS allowed FROM pages""")
 def url_allowlist(spark, sf):
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages").select(
         "page_id", text.allowed_url(F.col("url"), ("example.com", "example.org")).alias("allowed"))
 
 

@@ -45,7 +45,8 @@ class TopicModel:
         return replace(self, temperature=temperature, min_confidence=min_confidence)
 
     def logits(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               keep: Sequence[str] = ()) -> DataFrame:
+               keep: Sequence[str] = (), counts: dict[str, DataFrame] | None = None
+               ) -> DataFrame:
         """(id, *keep, logits array).  Every document gets a row; without a known term its
         scores are the bias.
 
@@ -56,9 +57,11 @@ class TopicModel:
         k = len(self.classes)
         blocks = []
         for block in self.blocks:
-            counts = features.term_counts(docs, block, id_col, text_col)
+            tf = (counts or {}).get(block.name)
+            if tf is None:
+                tf = features.term_counts(docs, block, id_col, text_col)
             table = self.terms.filter(F.col("analyzer") == block.name).drop("analyzer")
-            joined = features.join_terms(counts, table, self.n_docs, id_col).select(
+            joined = features.join_terms(tf, table, self.n_docs, id_col).select(
                 id_col, features.raw_weight().alias("_x"), "w")
             sums = joined.groupBy(id_col).agg(
                 F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"),
@@ -75,8 +78,9 @@ class TopicModel:
         return out.select(*ids, total.alias("logits"))
 
     def probabilities(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      keep: Sequence[str] = ()) -> DataFrame:
-        scored = self.logits(docs, id_col, text_col, keep)
+                      keep: Sequence[str] = (), counts: dict[str, DataFrame] | None = None
+                      ) -> DataFrame:
+        scored = self.logits(docs, id_col, text_col, keep, counts)
         return scored.select(id_col, *keep,
                              D.softmax(F.col("logits"), self.temperature).alias("probabilities"))
 
@@ -101,16 +105,17 @@ def class_totals(vectors: DataFrame, classes: Sequence[str], label_col: str = "l
 def train_naive_bayes(labelled: DataFrame, blocks: Sequence[Ngrams], alpha: float = K.NB_ALPHA,
                       uniform_prior: bool = True, id_col: str = "doc_id", text_col: str = "text",
                       label_col: str = "label", vectorizer: Vectorizer | None = None,
-                      write_counts: bool = False) -> TopicModel:
+                      write_counts: bool = False, counts: dict[str, DataFrame] | None = None
+                      ) -> TopicModel:
     """Multinomial naive Bayes on TF-IDF weights with Laplace smoothing.
 
     ``write_counts`` writes the term counts to the shared folder first; worth it once counting
-    costs more than writing (large corpora, character n-grams).
+    costs more than writing (large corpora, character n-grams).  ``counts`` are term counts with
+    the label kept, if the caller already has them.
     """
     classes = class_list(labelled, label_col)
-    counts = None
     if vectorizer is None:
-        if write_counts:
+        if write_counts and counts is None:
             counts = {b.name: materialize(features.term_counts(labelled, b, id_col, text_col,
                                                                [label_col])) for b in blocks}
         vectorizer = features.fit(labelled, blocks, id_col, text_col, counts)
@@ -204,12 +209,13 @@ def decision_record(scored: DataFrame, classes: Sequence[str], min_confidence: f
 
 def decisions(model: TopicModel, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               keep: Sequence[str] = (), other: str = K.OTHER_LABEL,
-              uncertain: str = K.UNCERTAIN_LABEL) -> DataFrame:
+              uncertain: str = K.UNCERTAIN_LABEL,
+              counts: dict[str, DataFrame] | None = None) -> DataFrame:
     """Batch decisions for evaluation: (id, *keep, argmax, confidence, status, label, subtopic).
 
     ``label`` counts uncertain texts as the out-of-taxonomy label; texts are scored whole.
     """
-    p = model.probabilities(docs, id_col, text_col, keep)
+    p = model.probabilities(docs, id_col, text_col, keep, counts)
     c = model.classes
     step = (
         p.withColumn("_general", D.marginals(F.col("probabilities"), c))

@@ -49,3 +49,13 @@ def shuffle_width(spark: SparkSession) -> int:
     """
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the input has fewer splits than there are cores.
+
+    A small file with one row group would otherwise be worked on by one task.  Large inputs have
+    far more splits than cores and are left as they are, without an exchange.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
