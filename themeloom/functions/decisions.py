@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from themeloom import constants as K
+from themeloom.functions.binding import let
 
 
 def joint_label(general: Column, subtopic: Column) -> Column:
@@ -35,10 +36,15 @@ def split_class(label: str) -> tuple[str, str | None]:
 def softmax(scores: Column, temperature: float | Column = 1.0) -> Column:
     """Stable softmax of an array, scores divided by the temperature first."""
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    peak = F.array_max(scores)
-    powers = F.transform(scores, lambda z: F.exp((z - peak) / t))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda e: e / total)
+
+    def powers(z: Column, peak: Column) -> Column:
+        return F.transform(z, lambda x: F.exp((x - peak) / t))
+
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x),
+                   lambda total: F.transform(e, lambda x: x / total))
+
+    return let(scores, lambda z: let(F.array_max(z), lambda peak: let(powers(z, peak), shares)))
 
 
 def _sum(parts: Sequence[Column]) -> Column:
@@ -79,11 +85,13 @@ def joint_scores(probabilities: Column, classes: Sequence[str]) -> Column:
 
 def conditionals(joint: Column, general: Column, marginal: Column) -> Column:
     """Array of (name, score): subtopics of one general label as shares of its probability."""
-    mine = F.filter(joint, lambda j: j["general"] == general)
+    def shares(name: Column, total: Column) -> Column:
+        mine = F.filter(joint, lambda j: j["general"] == name)
+        return F.transform(mine, lambda j: F.struct(j["subtopic"].alias("name"),
+                                                    (j["p"] / total).alias("score")))
     return F.when(
-        marginal > 0,
-        F.transform(mine, lambda j: F.struct(j["subtopic"].alias("name"),
-                                             (j["p"] / marginal).alias("score"))),
+        marginal > 0, let(F.struct(general.alias("g"), marginal.alias("m")),
+                          lambda x: shares(x["g"], x["m"]))
     ).otherwise(F.array().cast("array<struct<name:string,score:double>>"))
 
 
@@ -97,8 +105,11 @@ def ranked(scored: Column) -> Column:
 
 def top(scored: Column) -> Column:
     """Best (name, score); the first in array order wins a tie."""
-    best = F.array_max(F.transform(scored, lambda s: s["score"]))
-    return F.filter(scored, lambda s: s["score"] == best)[0]
+    def first_best(items: Column) -> Column:
+        return let(F.array_max(F.transform(items, lambda s: s["score"])),
+                   lambda best: F.filter(items, lambda s: s["score"] == best)[0])
+
+    return let(scored, first_best)
 
 
 def round4(x: Column) -> Column:
@@ -115,8 +126,9 @@ def select_subtopics(scored: Column, min_score: float = K.SUBTOPIC_MIN_SCORE,
 def related_topics(scored: Column, top_name: Column, other: str = K.OTHER_LABEL,
                    min_score: float = K.RELATED_TOPIC_MIN_SCORE) -> Column:
     """Strong topics besides the best one; the out-of-taxonomy label is not a topic."""
-    strong = F.filter(scored, lambda s: (s["name"] != top_name) & (s["name"] != other)
-                      & (s["score"] >= min_score))
+    strong = let(top_name, lambda best: F.filter(
+        scored, lambda s: (s["name"] != best) & (s["name"] != other)
+        & (s["score"] >= min_score)))
     return _rounded(ranked(strong))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from themeloom.functions.binding import let
+
 
 def feature_tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:
     """Words that enter word n-grams: more than one letter and no stop word.
@@ -41,5 +43,5 @@ def word_ngrams(toks: Column, low: int, high: int) -> Column:
 
 def char_ngrams(word: Column, low: int, high: int) -> Column:
     """All character n-grams of one word padded with a blank on each side."""
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    return F.concat(*[_char_spans(padded, n) for n in range(low, high + 1)])
+    return let(F.concat(F.lit(" "), word, F.lit(" ")), lambda padded: F.concat(
+        *[_char_spans(padded, n) for n in range(low, high + 1)]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from themeloom import constants as K
 from themeloom.functions import text
+from themeloom.functions.binding import let
 
 Forms = Mapping[str, tuple[str, str, str, str]]
 
@@ -30,9 +31,12 @@ def compose_phrase(topics: Column, forms: Forms = K.TOPIC_FORMS,
     compound noun; qualifier and domain a field of research; otherwise nouns joined by "and".
     """
     table = _forms_map(forms)
-    known = F.filter(F.transform(topics, lambda t: F.try_element_at(table, t)),
+    found = F.filter(F.transform(topics, lambda t: F.try_element_at(table, t)),
                      lambda f: f.isNotNull())
+    return let(found, lambda known: _phrase(known, heads))
 
+
+def _phrase(known: Column, heads: Mapping[str, str]) -> Column:
     def of_role(role: str) -> Column:
         return F.filter(known, lambda f: f["role"] == role)
 

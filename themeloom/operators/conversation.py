@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from themeloom import constants as K
 from themeloom.functions import decisions as D
 from themeloom.functions import phrases, text
+from themeloom.functions.binding import let
 from themeloom.operators.joins import running_total
 
 RUN_TURNS = 4_096
@@ -141,15 +142,15 @@ def themes(df: DataFrame, other: str = K.OTHER_LABEL, min_share: float = K.TOPIC
     step = step.withColumn("_total", total(F.col("_topical"), "score"))
     step = step.withColumn("uncertain", (F.col("_total") <= 0) | (F.col("_other") >
                                                                   F.col("_total")))
-    shares = D.ranked(F.transform("_topical", lambda s: F.struct(
-        s["name"].alias("name"), (s["score"] / F.col("_total")).alias("score"))))
+    shares = D.ranked(let(F.col("_total"), lambda all_: F.transform("_topical", lambda s: F.struct(
+        s["name"].alias("name"), (s["score"] / all_).alias("score")))))
     step = step.withColumn("_shares", F.when(~F.col("uncertain"), shares).otherwise(empty))
     strong = F.slice(F.filter("_shares", lambda s: s["score"] >= min_share), 1, limit)
     step = step.withColumn("topics", F.when(F.size(strong) > 0, strong).otherwise(
         F.slice("_shares", 1, 1)))
-    mine = F.transform(
-        F.filter("sub_scores", lambda s: s["general"] == F.col("topics")[0]["name"]),
-        lambda s: F.struct(s["subtopic"].alias("name"), s["p"].alias("score")))
+    mine = let(F.col("topics")[0]["name"], lambda topic: F.transform(
+        F.filter("sub_scores", lambda s: s["general"] == topic),
+        lambda s: F.struct(s["subtopic"].alias("name"), s["p"].alias("score"))))
     step = step.withColumn("_subs", F.when(F.size("topics") == 1, mine).otherwise(empty))
     best = F.try_element_at(D.ranked(F.col("_subs")), F.lit(1))
     sub_total = total(F.col("_subs"), "score")

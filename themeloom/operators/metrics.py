@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom import constants as K
+from themeloom.functions.binding import let
 from themeloom.operators.joins import running_total
 
 
@@ -98,7 +99,8 @@ def calibration_error(scored: DataFrame, confidence: str = "confidence", correct
     """
     edges = F.array(*[F.lit(e) for e in calibration_edges(n_bins)])
     c = F.col(confidence).cast("double")
-    binned = scored.groupBy(F.size(F.filter(edges, lambda e: e < c)).alias("bin")).agg(
+    below = let(c, lambda x: F.size(F.filter(edges, lambda e: e < x)))
+    binned = scored.groupBy(below.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy"),
         F.avg(c).alias("confidence"))
     gap = F.abs(F.col("accuracy") - F.col("confidence")) * F.col("n")
@@ -118,7 +120,7 @@ def threshold_counts(scored: DataFrame, thresholds: Sequence[float], other: str
     """
     ordered = sorted(thresholds)
     grid = F.array(*[F.lit(float(t)) for t in ordered])
-    passed = F.size(F.filter(grid, lambda t: t <= F.col(confidence)))
+    passed = let(F.col(confidence), lambda c: F.size(F.filter(grid, lambda t: t <= c)))
     small = scored.groupBy(F.col(true_col).alias("true"), F.col(top_col).alias("_top"),
                            passed.alias("_passed")).agg(F.count(F.lit(1)).alias("_n"))
     spread = small.select("*", F.posexplode(grid).alias("_i", "threshold"))
