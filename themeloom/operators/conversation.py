@@ -19,6 +19,7 @@ from themeloom.functions import decisions as D
 from themeloom.functions import phrases, text
 from themeloom.functions.binding import let
 from themeloom.operators.joins import running_total
+from themeloom.session import materialize
 
 RUN_TURNS = 4_096
 
@@ -29,10 +30,13 @@ def segment_sessions(messages: DataFrame, reset: Column, content: Column,
 
     Adds ``session_no`` (resets so far) and ``message_index`` (from 1 in each session); reset
     messages and messages without content are left out.  ``turn`` is unique per conversation.
+
+    The flags cost a normalisation of every text and are read by several running sums, so the
+    marked messages are written once.
     """
-    marked = messages.select(
+    marked = materialize(messages.select(
         "*", reset.cast("long").alias("_reset"), (content & ~reset).alias("_content"),
-        F.floor(F.col(turn) / RUN_TURNS).alias("_run"))
+        F.floor(F.col(turn) / RUN_TURNS).alias("_run")))
     sessions = running_total(marked, [conversation], "_run", [F.col(turn)], F.col("_reset"),
                              "session_no")
     kept = sessions.filter("_content")
@@ -101,12 +105,13 @@ def conversation_scores(scored: DataFrame, keys: Sequence[str], index: str, gene
     g_cols = [f"_g{i}" for i in range(len(general))]
     s_cols = [f"_s{i}" for i in range(len(subtopics))]
     rest = [c for c in scored.columns if c not in (scores_col, joint_col)]
-    wide = scored.select(
+    # Read by the running sums and by the ends of the runs: scoring must not happen twice.
+    wide = materialize(scored.select(
         *rest,
         *[F.coalesce(F.try_element_at(F.col(scores_col), F.lit(g)), zero).alias(c)
           for g, c in zip(general, g_cols, strict=True)],
         *[F.coalesce(F.try_element_at(F.try_element_at(F.col(joint_col), F.lit(g)), F.lit(s)),
-                     zero).alias(c) for (g, s), c in zip(subtopics, s_cols, strict=True)])
+                     zero).alias(c) for (g, s), c in zip(subtopics, s_cols, strict=True)]))
     summed = decayed_sums(wide, keys, index, [*g_cols, *s_cols], decay)
     return summed.select(*rest, *pack_scores(general, subtopics, g_cols, s_cols))
 
