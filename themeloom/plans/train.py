@@ -90,7 +90,7 @@ def train(records: DataFrame, labels: Sequence[str], blocks: Sequence[Ngrams] |
     sizes = {r["split"]: r["n"] for r in records.groupBy("split").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     final.metadata = {
-        "model_name": f"turkce-konu-{algorithm}", "model_version": K.MODEL_VERSION,
+        "model_name": f"topics-{algorithm}", "model_version": K.MODEL_VERSION,
         "training_timestamp": datetime.now(UTC).isoformat(timespec="seconds"),
         "algorithm": algorithm,
         "dataset": {"version": commit[:12] if commit else "bilinmiyor",
