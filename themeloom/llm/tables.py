@@ -41,8 +41,9 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows whose text stays near ``limit`` bytes, without copying.
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20,
+           rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most ``rows`` rows whose text stays near ``limit`` bytes, uncopied.
 
     What a task computes per byte then takes bounded memory; only one text that is longer by
     itself makes a longer run.
@@ -54,7 +55,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
     lengths = pa.compute.binary_length(sizes).to_numpy(zero_copy_only=False)
     first = total = 0
     for i, n in enumerate(lengths.tolist()):
-        if total and total + n > limit:
+        if total and total + n > limit or i - first >= rows:
             yield batch.slice(first, i - first)
             first, total = i, 0
         total += n
