@@ -1,6 +1,17 @@
 """Operators for preparing training data; nothing else in the package imports them."""
 
-from themeloom.llm import simhash_dedup  # noqa: F401
+from themeloom.llm import (  # noqa: F401
+    brown_lm,
+    decontaminate,
+    language_id,
+    packing,
+    passages,
+    quality,
+    sharding,
+    simhash_dedup,
+    token_count,
+    transport_stream,
+)
 from themeloom.llm.tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
