@@ -17,7 +17,8 @@ more windows through and loses none.  Items, windows and candidates are joined a
 
 Words are runs of letters, digits and non-ASCII signs, A-Z in lower case.  Items or windows with
 fewer than five words are one shingle.  Defined results: null or wordless texts and items match
-nothing; equal items and repeated rows match row by row; without items nothing matches; an empty
+nothing, nor do items without an item_id; equal items and repeated rows match row by row; without
+items nothing matches; an empty
 table gives an empty result; only doc_id, item_id and the texts are read.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.scan import BETWEEN_TERMS, mix, runs, word_hashes, words
-from themeloom.llm.tables import documents, keyed_texts, query, slices
+from themeloom.llm.tables import by_id, documents, keyed_texts, query, slices
 from themeloom.session import materialize
 
 SHINGLE = 5
@@ -95,7 +96,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
                 names=["item_id", "size", "fp", "shingles"])
 
     return items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(
-        F.col("text"), F.lit("")).alias("text")).mapInArrow(
+        F.col("text"), F.lit("")).alias("text")).filter("item_id is not null").mapInArrow(
         scan, "item_id long, size int, fp long, shingles array<long>")
 
 
@@ -268,8 +269,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
 def keep_clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without a passage of ``items``; rows without a doc_id stay."""
-    bad = contaminated(docs, items, similarity).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    bad = contaminated(docs, items, similarity).select("doc_id").distinct()
+    return by_id(docs, bad, "left_anti")
 
 
 @query

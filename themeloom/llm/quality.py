@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.scan import BETWEEN_WORDS, text_bytes
-from themeloom.llm.tables import documents, keyed_texts, query, remainder
+from themeloom.llm.tables import by_id, documents, keyed_texts, query, remainder
 from themeloom.session import materialize
 
 FEATURES = 256
@@ -270,9 +270,8 @@ def held_out(modulus: int = 3, value: int = 1) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score at least ``least``; rows without a doc_id are kept."""
-    bad = quality(docs, labels, ~held_out()).filter(F.col("score") < least).select(
-        F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_rejected"), "left_anti")
+    bad = quality(docs, labels, ~held_out()).filter(F.col("score") < least).select("doc_id")
+    return by_id(docs, bad.distinct(), "left_anti")
 
 
 @query

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from themeloom.llm.components import components
 from themeloom.llm.scan import text_bytes
-from themeloom.llm.tables import documents, keyed_texts, query
+from themeloom.llm.tables import by_id, documents, keyed_texts, query
 from themeloom.session import materialize
 
 SHINGLE_WORDS = 3
@@ -292,9 +292,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without a doc_id can't be told apart by it and all stay.
     """
     found = near_duplicates(docs, **options)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter("doc_id is not null").join(
-        kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    named = by_id(docs.filter("doc_id is not null"), kept, "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 
 

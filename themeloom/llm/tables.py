@@ -60,3 +60,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20,
             first, total = i, 0
         total += n
     yield batch.slice(first)
+
+
+def by_id(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined on doc_id with ``listed``, whose columns get names that docs doesn't have.
+
+    Rows without a doc_id match nothing.
+    """
+    names = {c: free_name(docs, f"listed_{c}") for c in listed.columns}
+    listed = listed.select(*[F.col(c).alias(n) for c, n in names.items()])
+    return docs.join(listed, docs["doc_id"].cast("long") == listed[names["doc_id"]], how)
