@@ -41,3 +41,22 @@ def classes(prints: list[int], ids: list[int], budget: int = 2) -> list[int]:
         root = find(at[v])
         least[root] = min(k, least.get(root, k))
     return [least[find(at[v])] for v in prints]
+
+
+# Columns that operators use inside, to clash with.
+ODD_SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, fp string, "
+              "row string, size int, component_id string, seed string, score string, x int, "
+              "word string, part string, _row int, shingles string, anchors int, _bad int")
+
+
+def odd_documents(spark, empty: bool = False):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names."""
+    passage = " ".join(f"shared{i} piece{i * 7 % 13}" for i in range(40))
+    long = "Lorem ipsum dolor sit amet, consectetur. " * 6000
+    texts = [None, "", " \t\n", "a", "A", long, long, f"start of one {passage} end of one",
+             f"another beginning {passage} and ending", "12345 !!! ???", "x" * 30000, "ß Σ İ 中文 \x00"]
+    rows = [(i, t, "en", "src0", len(t or ""), *["z", "z", 1, "z", "z", "z", 1, "z", "z", 1, "z", 1,
+                                               1]) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[7], (None, "no id here", None, None, None, *[None] * 13),
+             (50, None, *[None] * 16)]
+    return spark.createDataFrame([] if empty else rows, ODD_SCHEMA)
