@@ -1,13 +1,14 @@
 """Passages that documents share, by seeds, collinear chains and alignment.
 
-Seeds are runs of ``SEED_WORDS`` words whose hash is the least of ``WINDOW`` neighbours, so equal
-stretches of ``SEED_WORDS + WINDOW - 1`` words share a seed.  All occurrences of a seed are joined
-to its first document (the least doc_id), never with each other: a seed in n documents gives n - 1
-matches.  The matches of a pair of documents are chained: an anchor follows one that ends before it
+Marks are runs of ``SEED_WORDS`` words whose hash is the least of ``WINDOW`` neighbours; a seed is a
+mark with the next one and their distance.  Equal stretches of ``SEED_WORDS + 2 * WINDOW - 1`` words
+have two marks, so they share a seed.  All occurrences of a seed are joined to its first document
+(the least doc_id), never with each other: a seed in n documents gives n - 1 matches.    The matches of a pair of documents are chained: an anchor follows one that ends before it
 in both, at a cost for the gap, and a Fenwick tree over the places in the other text finds the best
 predecessor.  Chains are aligned word by word, in the gaps and beyond both ends, and what is long
 and alike enough is a passage.  As ends are extended over the text itself, a passage is found whole
-although part of its seeds may have another first document.
+although part of its seeds may have another first document; and as a seed spans two marks, a passage
+put together from two others has a seed of its own.
 
 Words are runs of signs other than white space, A-Z in lower case.  Defined results: null, empty
 and short texts share nothing; rows without a doc_id take no part; rows of equal doc_id are one
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.scan import runs, word_hashes, words
-from themeloom.llm.tables import documents, keyed_texts, query, slices
+from themeloom.llm.scan import mix, runs, word_hashes, words
+from themeloom.llm.tables import by_id, documents, keyed_texts, query, slices
 from themeloom.session import materialize
 
 SEED_WORDS = 5
@@ -39,6 +40,8 @@ GAP_COST = 0.1
 MOST_GAP = 48
 # Points that an extension may fall behind its best before it ends; a mismatch costs MISS.
 DROP, MISS = 12, 2
+# Of ids; bounds the list by which texts are left out before the shuffle.
+BUCKETS = 1 << 20
 
 
 def minimizers(hashes: np.ndarray, first: np.ndarray, k: int = SEED_WORDS,
@@ -58,7 +61,7 @@ def minimizers(hashes: np.ndarray, first: np.ndarray, k: int = SEED_WORDS,
     while width < window:
         step = min(width, window - width)
         moved = np.full(n, worst, dtype=np.uint64)
-        moved[:n - step] = least[step:]
+        moved[:max(n - step, 0)] = least[step:]
         moved[np.arange(n) + step > last] = worst
         least = np.minimum(least, moved)
         width += step
@@ -84,8 +87,12 @@ def seeds_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = words(part.column("text"))
-                place, seed = minimizers(word_hashes(found), found.first)
+                place, mark = minimizers(word_hashes(found), found.first)
                 row = np.searchsorted(found.first, place, side="right") - 1
+                apart = (place[1:] - place[:-1]).astype(np.uint64)
+                seed = mix(mark[:-1] ^ mix(mark[1:] + apart))
+                paired = row[1:] == row[:-1]
+                seed, place, row = seed[paired], place[:-1][paired], row[:-1][paired]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seed.view(np.int64)), part.column("doc_id").take(pa.array(row)),
                      pa.array((place - found.first[row]).astype(np.int32))],
@@ -114,17 +121,21 @@ class Segment(NamedTuple):
     n: int
 
 
-def segments(x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS, window: int = WINDOW
+def segments(a: list, b: list, x: np.ndarray, y: np.ndarray, k: int = SEED_WORDS
              ) -> list[Segment]:
-    """Anchors as stretches: neighbours on a diagonal that overlap or touch become one."""
+    """Anchors as stretches: neighbours on a diagonal with equal words between them become one."""
     order = np.lexsort((x, x - y))
-    x, y = x[order], y[order]
-    apart = np.ones(len(x), dtype=bool)
-    apart[1:] = (x[1:] - y[1:] != x[:-1] - y[:-1]) | (x[1:] - x[:-1] > k)
-    lo = np.flatnonzero(apart)
-    hi = np.append(lo[1:], len(x)) - 1
-    return [Segment(*s) for s in zip(x[lo].tolist(), y[lo].tolist(),
-                                     (x[hi] - x[lo] + k).tolist(), strict=True)]
+    out: list[Segment] = []
+    for u, v in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        if out:
+            s = out[-1]
+            end = s.x + s.n
+            if s.x - s.y == u - v and (u <= end or u - end <= MOST_GAP
+                                       and a[end:u] == b[end - s.x + s.y:v]):
+                out[-1] = Segment(s.x, s.y, max(s.n, u + k - s.x))
+                continue
+        out.append(Segment(u, v, k))
+    return out
 
 
 class Fenwick:
@@ -260,7 +271,7 @@ def passages_of(a: list, b: list, x: np.ndarray, y: np.ndarray, least_words: int
                 similarity: float) -> list[Passage]:
     """Passages of a that are like one of b, none inside another."""
     out: list[Passage] = []
-    for chain in chains(segments(x, y)):
+    for chain in chains(segments(a, b, x, y)):
         if any(p.start <= s.x and s.x + s.n <= p.start + p.words
                and p.other_start <= s.y and s.y + s.n <= p.other_start + p.other_words
                for p in out for s in (chain[0],)) and len(chain) == 1:
@@ -281,6 +292,10 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS,
     pairs = materialize(anchors(docs))
     texts = keyed_texts(docs).filter("doc_id is not null")
     named = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
+    # no more than BUCKETS rows: what isn't in a bucket of a named document needn't be shuffled
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    buckets = named.select(bucket.alias("bucket")).distinct()
+    texts = texts.join(F.broadcast(buckets), bucket == F.col("bucket"), "left_semi")
     texts = materialize(texts.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     other = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
     both = pairs.join(other, "other_id").join(texts, "doc_id")
@@ -340,17 +355,16 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     The first document keeps a passage.  Documents of which no word is left go; all others stay,
     with the columns of ``docs`` and, where it counts characters, ``n_chars`` brought up to date.
     """
-    spans = shared_passages(docs, **options).groupBy(F.col("doc_id").alias("_cut_id")).agg(
-        F.collect_set(F.struct("start_word", "n_words")).alias("_spans"))
-    spans = materialize(spans)
-    marked = docs.join(spans, F.col("doc_id").cast("long") == F.col("_cut_id"), "left")
-    kept = docs.columns
+    spans = materialize(shared_passages(docs, **options).groupBy("doc_id").agg(
+        F.collect_set(F.struct("start_word", "n_words")).alias("spans")))
+    marked = by_id(docs, spans, "left")
+    kept, listed = docs.columns, marked.columns[-1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             stays = [True] * len(texts)
-            for i, spans_ in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans_ in enumerate(batch.column(listed).to_pylist()):
                 if spans_:
                     raw = without(texts[i].encode(),
                                   [(s["start_word"], s["n_words"]) for s in spans_])
@@ -360,7 +374,7 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
             whole = pa.RecordBatch.from_arrays(columns, names=kept)
             yield whole.filter(pa.array(stays, pa.bool_()))
 
-    out = marked.select(*kept, "_spans").mapInArrow(cut, docs.schema)
+    out = marked.select(*kept, listed).mapInArrow(cut, docs.schema)
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.coalesce(count, F.col("n_chars")))
