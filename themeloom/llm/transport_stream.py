@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from themeloom.llm.scan import text_bytes
 from themeloom.llm.tables import documents, keyed_texts, query, slices
-from themeloom.session import working_dir
+from themeloom.session import run_folder
 
 PACKET = 188
 ROOM = 184  # of a packet after its header
@@ -318,7 +318,7 @@ def store(media: DataFrame) -> DataFrame:
     import uuid
 
     spark = media.sparkSession
-    path = f"{working_dir(spark)}/themeloom/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     media.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(media.schema).parquet(path)
 
