@@ -15,7 +15,8 @@ from themeloom.functions.decisions import general_names, split_class
 from themeloom.operators import conversation, linear
 from themeloom.operators.features import word_block
 from themeloom.plans import chat
-from themeloom.session import materialize, working_dir
+from themeloom.session import materialize, run_folder
+from themeloom.sources import chat_store
 from themeloom.streaming.scoring import store_batches
 from themeloom.streaming.themes import stream_scores
 
@@ -82,8 +83,7 @@ def _segments(spark, sf):
 
 
 def _model(spark, sf):
-    return linear.train_naive_bayes(labelled(spark, sf), [word_block((), 1)],
-                                    write_counts=True).with_decision(
+    return linear.train_naive_bayes(labelled(spark, sf), [word_block((), 1)]).with_decision(
         1.0, MIN_CONFIDENCE)
 
 
@@ -140,14 +140,14 @@ def stream_theme(spark, sf):
                             other=OTHER, keep=["conv_id", "turn", "role"]).select(
         "conv_id", "turn", (F.col("role") == "system").alias("reset"), "general_scores",
         "joint_subtopic_scores")
-    source = materialize(scored.repartition(4, "conv_id"))
+    source = materialize(scored.repartition("conv_id"))
     stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
-    folder = f"{working_dir(spark)}/themeloom/{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     scores = stream_scores(stream, GENERAL, SUBTOPICS, idle_ms=None)
     run = store_batches(scores, f"{folder}/out", f"{folder}/state").trigger(
         availableNow=True).start()
     run.awaitTermination()
-    return _theme_columns(_themes(spark.read.parquet(f"{folder}/out").drop("batch_id")))
+    return _theme_columns(_themes(spark.read.parquet(f"{folder}/out").filter("not late").drop("batch_id", "late")))
 
 
 # kt: keywords of each message for its best general topic, if that is part of the theme
@@ -203,7 +203,8 @@ def query_forms(spark, sf):
     return tokens.select("token", phrases.query_form(F.col("token")).alias("form"))
 
 
-@query(f"""WITH RECURSIVE {_KEYWORDS},
+# bq: words of each message's query, taken one after the other
+_QUERIES = f"""{_KEYWORDS},
   bs AS (SELECT id, list_filter({words(norm('coalesce(focus, phrase)'))},
            lambda w: w NOT IN ('alanında', 've')) AS ws, uncertain,
            list_filter(list_transform(coalesce(keywords, []), lambda t: {_form('t')}),
@@ -216,11 +217,31 @@ def query_forms(spark, sf):
            CASE WHEN fresh THEN budget - 1 ELSE budget END, i + 1 FROM (
              SELECT *, budget > 0 AND NOT list_contains(list_transform(ws,
                lambda w: substring(w, 1, 5)), substring(fs[i], 1, 5)) AS fresh
-             FROM bq WHERE i <= length(fs)))
-  SELECT conv_id, turn, CASE WHEN NOT uncertain THEN nullif(array_to_string(ws, ' '), '') END
+             FROM bq WHERE i <= length(fs)))"""
+
+
+@query(f"""WITH RECURSIVE {_QUERIES} SELECT conv_id, turn, CASE WHEN NOT uncertain THEN nullif(array_to_string(ws, ' '), '') END
     AS query FROM bq JOIN sg USING (id) WHERE i = length(fs) + 1""")
 def search_queries(spark, sf):
     """The whole turn: prediction, theme, keywords, query."""
     done = _processed(spark, sf)
     return done.select("conv_id", F.split("message_id", ":")[1].cast("long").alias("turn"),
                        "query")
+
+
+@query(f"""WITH RECURSIVE {_QUERIES} SELECT conv_id || ':' || session_no AS session_id,
+    message_index, CASE WHEN th.uncertain THEN 'Belirsiz' ELSE theme_label END AS theme_label,
+    phrase AS theme_phrase, length(topics) AS n_topics,
+    CASE WHEN NOT th.uncertain THEN nullif(array_to_string(ws, ' '), '') END AS search_query
+  FROM th JOIN bq USING (id) WHERE i = length(fs) + 1""")
+def stored_turns(spark, sf):
+    """Theme rows and text rows of all turns, stored and joined by session and message."""
+    done = _processed(spark, sf).withColumn("session_id", F.concat_ws(":", "conv_id", "session_no"))
+    root = f"{run_folder(spark)}/{uuid.uuid4().hex}"
+    chat_store.append(chat_store.text_rows(done, "v1"), root, "texts")
+    chat_store.append(chat_store.theme_rows(done), root, "themes")
+    rows = chat_store.session_history(
+        chat_store.read_table(spark, root, "texts").select("session_id", "message_index"),
+        chat_store.read_table(spark, root, "themes"))
+    return rows.select("session_id", "message_index", "theme_label", "theme_phrase",
+                       F.size("topics").alias("n_topics"), "search_query")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from themeloom.catalog.common import (
@@ -10,8 +12,11 @@ from themeloom.catalog.common import (
 )
 from themeloom.functions import text
 from themeloom.operators import dataset, similarity, splitting
+from themeloom import constants as K
+from themeloom.operators.dataset import RECORD_COLUMNS
 from themeloom.plans import build
-from themeloom.session import materialize
+from themeloom.session import materialize, run_folder
+from themeloom.sources import cards as card_files
 
 _SQUEEZED = f"trim({rr('text', '\\s+', ' ')})"
 _GROUP = (f"array_to_string(list_transform({words(norm('term'))}, "
@@ -257,11 +262,62 @@ def sentence_sample(spark, sf):
     return dataset.sentence_sample(texts(spark, sf, "documents"))
 
 
-@query(f"""WITH {_SENTENCES} SELECT sentence AS text, CASE source WHEN 'src1' THEN 'en' ELSE 'fr'
-    END AS general, CASE source WHEN 'src1' THEN 'a' END AS subtopic, source AS category,
-    source || ':' || i AS "group" FROM sm WHERE source IN ('src1', 'src2')""")
+@query(f"""WITH {_SENTENCES} SELECT sentence AS text, CASE WHEN substring(source, 4)::INT % 2 = 1
+    THEN 'en' ELSE 'fr' END AS general, CASE WHEN substring(source, 4)::INT % 2 = 1 THEN 'a' END
+    AS subtopic, source AS category, source || ':' || i AS "group" FROM sm""")
 def external_records(spark, sf):
-    targets = {"src1": ("en", "a"), "src2": ("fr", None)}
+    targets = {f"src{i}": ("en", "a") if i % 2 else ("fr", None) for i in range(20)}
     return dataset.external_records(table(spark, sf, "documents"), targets).select(
         "text", "general", "subtopic", "category", "group")
 
+
+
+# ------------------------------------------------------------------------------------ files
+
+def _folder(spark) -> str:
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _one_per_file(rows, folder: str) -> str:
+    """Each text of a one-column table as a file of its own."""
+    rows.write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+_STRIPPED = r"regexp_replace(COL, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
+
+
+@query(f"""WITH {CARDS_SQL} SELECT category, term, md5({_STRIPPED.replace('COL', 'definition')})
+    AS digest FROM cd""")
+def card_files_read(spark, sf):
+    """All documents written as card files of a hundred cards and read back."""
+    keys = [F.col(c).alias(k) for c, k in zip(("category", "term", "definition"), K.CARD_KEYS,
+                                              strict=True)]
+    arrays = cards(spark, sf).groupBy("category", F.floor(F.col("doc_id") / 100).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct(*keys))).alias("value"))
+    folder = _one_per_file(arrays.select("value"), _folder(spark))
+    return card_files.read_cards(spark, folder, pattern="*.txt").select(
+        "category", "term", F.md5("definition").alias("digest"))
+
+
+@query("SELECT 'docs' AS source, md5(text) AS digest, count(*) AS n FROM documents GROUP BY ALL")
+def paragraph_files_read(spark, sf):
+    """All documents written as question-answering files and read back."""
+    docs = texts(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / 100).alias("part"),
+        F.struct(F.array(F.struct(F.col("text").alias("context"))).alias("paragraphs")).alias("d"))
+    files = docs.groupBy("part").agg(F.to_json(F.struct(F.collect_list("d").alias("data")))
+                                     .alias("value"))
+    folder = _one_per_file(files.select("value"), _folder(spark))
+    rows = card_files.read_paragraphs(spark, folder, "docs", "*.txt")
+    return rows.groupBy("source", F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {SPLITS_SQL} SELECT md5(text) AS digest, general, subtopic, category, term,
+    grp AS "group" FROM sp WHERE split = 'val'""")
+def split_files_read(spark, sf):
+    """All splits written as JSON lines; one of them read back."""
+    folder = _folder(spark)
+    card_files.write_splits(_splits(spark, sf).select(*RECORD_COLUMNS, "split"), folder)
+    return card_files.read_split(spark, folder, "val").select(
+        F.md5("text").alias("digest"), "general", "subtopic", "category", "term", "group")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from themeloom import constants as K
 from themeloom.catalog.common import norm, query, rr, table, texts
 from themeloom.functions import text
 from themeloom.operators import replay
-from themeloom.session import materialize, working_dir
+from themeloom.session import materialize, run_folder
 from themeloom.sources import chat_store, provenance, search_payloads
 from themeloom.streaming.cache import stream_cache
 from themeloom.streaming.scoring import store_batches
@@ -104,6 +105,25 @@ def answer_results(spark, sf):
     return results.drop("source")
 
 
+@query(f"""WITH p AS (SELECT page_id // 5 AS query_id, page_id, url, {_TITLE} AS raw, html FROM pages),
+  g AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS rank,
+          {_plain("split_part(raw || ' - ' || html, ' - ', 1)")} AS t, url FROM p WHERE {_ALLOWED})
+  SELECT query_id, rank, {_cut('t', 150)} AS title, url FROM g WHERE rank <= 3""")
+def answer_results_deep(spark, sf):
+    """Each topic inside up to eleven groups, one in the other (top 3 each)."""
+    pages = _pages(spark, sf)
+    leaf = F.to_json(F.struct(F.col("url").alias("FirstURL"),
+                              F.concat_ws(" - ", "title", "html").alias("Text")))
+    depth = (F.col("page_id") % 12).cast("int")
+    item = F.concat(F.repeat(F.lit('{"Topics":['), depth), leaf, F.repeat(F.lit("]}"), depth))
+    grouped = pages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "page_id", item.alias("item")))).alias("rows"))
+    payload = F.concat(F.lit('{"RelatedTopics":['), F.array_join(F.transform(
+        "rows", lambda r: r["item"]), ","), F.lit("]}"))
+    return search_payloads.answer_results(grouped.select("query_id", payload.alias("payload")),
+                                          hosts=HOSTS).select("query_id", "rank", "title", "url")
+
+
 _OUTCOME = """CASE WHEN event_type = 'purchase' THEN 'ok' WHEN event_type = 'error' THEN 'offline'
     WHEN event_type = 'click' THEN 'error' ELSE 'empty' END"""
 
@@ -162,9 +182,9 @@ def stream_cache_replay(spark, sf):
     """The same from a stream with one time stamp of state per key."""
     log = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp")
                                             .alias("ts"))
-    source = materialize(log.repartition(4, "user_id"))
+    source = materialize(log.repartition("user_id"))
     stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
-    folder = f"{working_dir(spark)}/themeloom/{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     hits = stream_cache(stream, "user_id", "ts", "event_id")
     run = store_batches(hits, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -199,12 +219,12 @@ def cache_upsert(spark, sf):
         "user_id", "event_type", "event_id", "value")
 
 
-@query(f"""SELECT lang, count(DISTINCT {norm('substring(text, 1, strpos(text, chr(46)))')}) AS keys,
-    count(*) AS n FROM documents GROUP BY lang""")
+@query(f"""SELECT lang, count(DISTINCT {norm('text')}) AS keys, count(*) AS n FROM documents
+  GROUP BY lang""")
 def cache_keys(spark, sf):
-    """Distinct cache keys when each document's first sentence is asked as a query."""
-    first = F.expr("substring(text, 1, locate('.', text))")
-    keyed = texts(spark, sf, "documents").select("lang", text.normalize(first).alias("key"))
+    """Distinct cache keys when every document is asked as a query."""
+    keyed = texts(spark, sf, "documents").select("lang", F.sha2(
+        text.normalize(F.col("text")), 256).alias("key"))
     return keyed.groupBy("lang").agg(F.count_distinct("key").alias("keys"),
                                      F.count(F.lit(1)).alias("n"))
 
@@ -274,14 +294,17 @@ def null_violations(spark, sf):
     return chat_store.null_counts(rows, ["text", "quality"])
 
 
-@query("""SELECT DISTINCT user_id::VARCHAR AS model_version FROM events WHERE user_id NOT IN
-    (SELECT s_suppkey FROM supplier)""")
+@query("""SELECT user_id::VARCHAR AS model_version, min(event_id) AS first_event,
+    arg_min(event_type, event_id) AS note FROM events
+  WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY user_id""")
 def model_registry(spark, sf):
-    """New versions are registered, known ones left alone."""
-    new = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("model_version"))
+    """New versions are registered once, as first seen; known ones are left alone."""
+    new = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("model_version"),
+        F.col("event_id").alias("first_event"), F.col("event_type").alias("note"))
     known = table(spark, sf, "supplier").select(
         F.col("s_suppkey").cast("string").alias("model_version"))
-    return chat_store.insert_or_ignore(new, known, "model_version")
+    return chat_store.insert_or_ignore(new, known, "model_version", "first_event")
 
 
 @query("""SELECT conv_id, turn, 'r' || k AS title, k AS rank FROM conversations CROSS JOIN
@@ -340,21 +363,48 @@ def table_counts(spark, sf):
     return counts
 
 
-@query()
+_DIGESTS = """(SELECT 'doc/' || doc_id AS path, doc_id, source, octet_length(encode(text)) AS bytes,
+    sha256(text) AS sha256 FROM documents)"""
+
+
+def _digests(spark, sf):
+    """Documents as delivered files: path, size and hash."""
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "source",
+        F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+
+
+@query(f"""SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'extra' WHEN doc_id % 11 = 0 THEN 'mismatch'
+    ELSE 'ok' END AS state FROM {_DIGESTS}
+  UNION ALL SELECT 'item/' || item_id, 'missing' FROM benchmark""")
 def manifest_check(spark, sf):
-    """Files of the tables against a manifest that lists one wrong hash and one missing file."""
-    files = materialize(provenance.file_digests(spark, sf))
-    wrong = F.when(F.col("path") == "events.parquet", F.lit("0")).otherwise(F.col("sha256"))
-    manifest = files.filter("path <> 'labels.parquet'").select("path", wrong.alias("sha256"))
-    gone = manifest.limit(1).select(F.lit("gone.parquet").alias("path"), F.lit("0")
-                                    .alias("sha256"))
+    """Hashes of all documents against a manifest with wrong, missing and additional entries."""
+    files = _digests(spark, sf)
+    wrong = F.when(F.col("doc_id") % 11 == 0, F.sha2(F.col("sha256"), 256)).otherwise(
+        F.col("sha256"))
+    manifest = files.filter("doc_id % 13 <> 0").select("path", wrong.alias("sha256"))
+    gone = table(spark, sf, "benchmark").select(
+        F.concat(F.lit("item/"), F.col("item_id").cast("string")).alias("path"),
+        F.sha2("text", 256).alias("sha256"))
     return provenance.check_manifest(files, manifest.unionByName(gone))
 
 
-@query()
+@query(f"""SELECT source, count(*) AS files, sum(bytes)::BIGINT AS bytes,
+    sum(('0x' || substring(sha256(path || '|' || sha256), 1, 12))::BIGINT)::VARCHAR AS digest
+  FROM {_DIGESTS} GROUP BY source""")
 def file_provenance(spark, sf):
-    """Files, bytes and an order-free digest per table group."""
-    files = provenance.file_digests(spark, sf)
-    kind = F.when(F.col("path").isin(*[f"{t}.parquet" for t in _COUNTED]), "text").otherwise(
-        "star")
-    return provenance.provenance(files.withColumn("source", kind))
+    """Files, bytes and an order-free digest of what each source delivered."""
+    return provenance.provenance(_digests(spark, sf))
+
+
+@query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos
+  FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations)""")
+def session_results(spark, sf):
+    """Rows of one session, the latest, in the order they were stored."""
+    turns = table(spark, sf, "conversations")
+    rows = turns.select("conv_id", "turn", "role", F.col("conv_id").alias("session_id"),
+                        F.col("turn").alias("message_index"), F.col("turn").alias("rank"))
+    last = turns.agg(F.max("conv_id")).first()[0]
+    stored = chat_store.session_results(rows, F.lit(last))
+    order = Window.partitionBy("conv_id").orderBy("message_index", "rank")
+    return stored.select("conv_id", "turn", "role", F.row_number().over(order).alias("pos"))

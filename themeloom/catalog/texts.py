@@ -120,7 +120,7 @@ def _cut(column: str, limit: int) -> str:
 def page_clean_text(spark, sf):
     pages = texts(spark, sf, "pages")
     return pages.select("page_id", text.clean_text(F.col("html"), 400).alias("summary"),
-                        F.md5(text.clean_text(F.col("html"), 1_000_000_000)).alias("digest"))
+                        F.md5(text.clean_text(F.col("html"))).alias("digest"))
 
 
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
@@ -149,12 +149,12 @@ def _per_doc(counts):
 
 @query(f"WITH c AS ({word_counts('documents', 'doc_id', 2, stopwords=STOPWORDS)}) {_PER_DOC}")
 def word_ngrams(spark, sf):
-    return _per_doc(features.term_counts(table(spark, sf, "documents"), word_block(STOPWORDS)))
+    return _per_doc(features.term_counts(texts(spark, sf, "documents"), word_block(STOPWORDS)))
 
 
 @query(f"WITH c AS ({char_counts('documents', 'doc_id', 2, 5)}) {_PER_DOC}")
 def char_ngrams(spark, sf):
-    return _per_doc(features.term_counts(table(spark, sf, "documents"), char_block()))
+    return _per_doc(features.term_counts(texts(spark, sf, "documents"), char_block()))
 
 
 @query(f"""WITH c AS ({word_counts('documents', 'doc_id', 2)})
@@ -162,7 +162,7 @@ def char_ngrams(spark, sf):
   WHERE df >= 2""")
 def doc_frequency(spark, sf):
     block = features.Ngrams("word", "word", 1, 2, 2, features.stemmed)
-    fitted = features.fit(table(spark, sf, "documents"), [block])
+    fitted = features.fit(texts(spark, sf, "documents"), [block])
     return fitted.vocabulary.select("term", "df", F.round("idf", 8).alias("idf"))
 
 
@@ -172,22 +172,25 @@ _UNIGRAMS = f"""WITH c AS ({word_counts('documents', 'doc_id', 1)}),
 
 
 def _unigrams(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs, features.fit(docs, [word_block((), 1)])
+    """All documents, their written counts, and the vocabulary that is fitted on them."""
+    docs = texts(spark, sf, "documents")
+    blocks = [word_block((), 1)]
+    counts = features.count_terms(docs, blocks)
+    return docs, features.fit(docs, blocks, counts=counts), counts
 
 
 @query(f"{_UNIGRAMS} SELECT doc_id, term, round(weight, 8) AS weight FROM w")
 def tfidf_weights(spark, sf):
-    docs, fitted = _unigrams(spark, sf)
-    return fitted.transform(docs).select("doc_id", "term", F.round("weight", 8).alias("weight"))
+    docs, fitted, counts = _unigrams(spark, sf)
+    return fitted.transform(docs, counts=counts).select("doc_id", "term", F.round("weight", 8).alias("weight"))
 
 
 @query(f"""{_UNIGRAMS} SELECT doc_id, term, round(weight, 8) AS weight FROM w
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 10) DESC, term) = 1""")
 def tfidf_top_term(spark, sf):
     """The heaviest term of every document."""
-    docs, fitted = _unigrams(spark, sf)
-    weights = fitted.transform(docs)
+    docs, fitted, counts = _unigrams(spark, sf)
+    weights = fitted.transform(docs, counts=counts)
     return weights.groupBy("doc_id").agg(
         F.min_by(F.struct("term", "weight"), F.struct(-F.round("weight", 10), F.col("term")))
         .alias("t")).select("doc_id", "t.term", F.round("t.weight", 8).alias("weight"))
@@ -204,9 +207,11 @@ def tfidf_top_term(spark, sf):
     round(max(weight), 6) AS peak FROM w GROUP BY ALL""")
 def tfidf_combined(spark, sf):
     """Word and character blocks over whole texts, each normed on its own."""
-    docs = table(spark, sf, "documents")
-    fitted = features.fit(docs, [word_block(STOPWORDS), char_block()])
-    return fitted.transform(docs).groupBy("doc_id", "analyzer").agg(
+    docs = texts(spark, sf, "documents")
+    blocks = [word_block(STOPWORDS), char_block()]
+    counts = features.count_terms(docs, blocks)
+    fitted = features.fit(docs, blocks, counts=counts)
+    return fitted.transform(docs, counts=counts).groupBy("doc_id", "analyzer").agg(
         F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"),
         F.round(F.max("weight"), 6).alias("peak"))
 
@@ -217,7 +222,7 @@ def tfidf_combined(spark, sf):
     round(sum(weight * weight), 6) AS squares FROM bw GROUP BY item_id""")
 def unseen_texts(spark, sf):
     """Texts outside the corpus: unknown terms are dropped before the norm."""
-    _, fitted = _unigrams(spark, sf)
+    _, fitted, _ = _unigrams(spark, sf)
     weights = fitted.transform(table(spark, sf, "benchmark"), "item_id")
     return weights.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("known"), F.round(F.sum("weight"), 6).alias("total"),

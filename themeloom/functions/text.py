@@ -238,9 +238,14 @@ def unescape_html(text: Column) -> Column:
     return F.coalesce(_unescape()(F.when(text.contains("&"), text)), text)
 
 
-def clean_text(value: Column, limit: int) -> Column:
-    """Plain text out of untrusted HTML, cut at a word with an ellipsis; null gives ''."""
+def clean_text(value: Column, limit: int | None = None) -> Column:
+    """Plain text out of untrusted HTML, cut at a word with an ellipsis; null gives ''.
+
+    Without a limit the text is whole.
+    """
     plain = squeeze(unescape_html(F.regexp_replace(value, K.TAG_PATTERN, " ")))
+    if limit is None:
+        return F.coalesce(plain, F.lit(""))
     cut = F.concat(F.regexp_replace(F.substring(plain, 1, limit - 1), "(?s) [^ ]*$", ""),
                    F.lit("…"))
     return F.coalesce(F.when(F.length(plain) > limit, cut).otherwise(plain), F.lit(""))

@@ -2,9 +2,9 @@
 
 The vocabulary stays a table, so its size is bounded by the cluster and not by one process.
 
-Exchange layout.  The repaired *text* is repartitioned by document id once; exploding it and counting terms
-per document then needs no further exchange, because rows of one document already sit together.
-Only counts travel to the terms' vocabulary rows, and only weights travel back.
+Exchange layout.  Terms are counted inside the document's row, so no text is shuffled and a text may
+be of any size next to others.  Only counts travel to the terms' vocabulary rows, and only weights
+travel back.  Adaptive execution splits the partitions that hold very frequent terms.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from themeloom.functions import ngrams, text
-from themeloom.operators.joins import balanced_join
-from themeloom.session import shuffle_width
+from themeloom.functions.binding import let
+from themeloom.session import materialize
+
 
 @dataclass(frozen=True)
 class Ngrams:
@@ -58,31 +59,27 @@ def default_blocks() -> tuple[Ngrams, ...]:
 
 def term_counts(docs: DataFrame, block: Ngrams, id_col: str = "doc_id", text_col: str = "text",
                 keep: Sequence[str] = ()) -> DataFrame:
-    """(id, *keep, term, tf).  ``keep`` columns must depend on the id alone."""
-    spark = docs.sparkSession
+    """(id, *keep, term, tf) of every row; rows of one document, no exchange."""
     ids = [id_col, *keep]
-    prepared = (
-        docs.select(*ids, text.repair(F.col(text_col)).alias("_raw"))
-        .repartition(shuffle_width(spark), id_col)
-        .select(*ids, block.preprocess(F.col("_raw")).alias("_text"))
-    )
+    prepared = docs.select(*ids, block.preprocess(text.repair(F.col(text_col))).alias("_text"))
     if block.analyzer == "word":
-        tokens = prepared.select(
+        toks = prepared.select(
             *ids, ngrams.feature_tokens(F.col("_text"), block.stopwords).alias("_toks"))
-        grams = tokens.select(
-            *ids, F.explode(ngrams.word_ngrams(F.col("_toks"), block.low, block.high))
-            .alias("term"))
-        return grams.groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
+        found = let(F.col("_toks"), lambda t: ngrams.counted(
+            ngrams.word_ngrams(t, block.low, block.high)))
+        return toks.select(*ids, F.inline(found))
     # Character n-grams never cross a word, so they are cut from the distinct words of a document
-    # and weighted by how often the word occurs: less text to cut, fewer rows to group.
-    distinct = (
-        prepared.select(*ids, F.explode(text.words(F.col("_text"))).alias("_word"))
-        .groupBy(*ids, "_word").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    grams = distinct.select(
-        *ids, "_n", F.explode(ngrams.char_ngrams(F.col("_word"), block.low, block.high))
-        .alias("term"))
-    return grams.groupBy(*ids, "term").agg(F.sum("_n").alias("tf"))
+    # and weighted by how often the word occurs: less text to cut, fewer to sort.
+    found = ngrams.counted_parts(
+        ngrams.counted(text.words(F.col("_text"))),
+        lambda word: ngrams.char_ngrams(word, block.low, block.high))
+    return prepared.select(*ids, F.inline(found))
+
+
+def count_terms(docs: DataFrame, blocks: Sequence[Ngrams], id_col: str = "doc_id",
+                text_col: str = "text", keep: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Written term counts of each block, for ``fit`` and ``transform`` to share."""
+    return {b.name: materialize(term_counts(docs, b, id_col, text_col, keep)) for b in blocks}
 
 
 def document_frequency(counts: DataFrame, min_df: int = 1) -> DataFrame:
@@ -95,12 +92,6 @@ def smooth_idf(df: Column, n_docs: int) -> Column:
     return F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
 
 
-def join_terms(counts: DataFrame, table: DataFrame, n_docs: int,
-               id_col: str = "doc_id") -> DataFrame:
-    """Inner join of counts with a per-term table; terms of very many documents are split."""
-    return balanced_join(counts, table, "term", "df", n_docs, F.col(id_col))
-
-
 @dataclass
 class Vectorizer:
     """A fitted vocabulary: rows of (analyzer, term, df, idf)."""
@@ -124,7 +115,7 @@ class Vectorizer:
             tf = (counts or {}).get(block.name)
             if tf is None:
                 tf = term_counts(docs, block, id_col, text_col, keep)
-            weighted = join_terms(tf, self.block_vocabulary(block), self.n_docs, id_col).select(
+            weighted = tf.join(self.block_vocabulary(block), "term").select(
                 id_col, *keep, "term", raw_weight().alias("_w"))
             norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
             parts.append(weighted.select(

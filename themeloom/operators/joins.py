@@ -1,4 +1,4 @@
-"""Equi-joins that stay balanced when one key holds a large share of the rows."""
+"""Seeded orders, and running sums that stay balanced when one key holds most of the rows."""
 
 from __future__ import annotations
 
@@ -8,29 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A key with more rows than this on the big side is split over several join tasks.
-HOT_ROWS = 200_000
-
-
-def balanced_join(big: DataFrame, table: DataFrame, key: str, rows_per_key: str, n_rows: int,
-                  spread_by: Column, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join ``big`` to a table with one row per key that knows how many big rows the key has.
-
-    Hot keys are split: their table row is copied to ``ceil(rows / hot_rows)`` salts and every
-    big row picks one by ``spread_by``.  The list of hot keys is broadcast; it has at most
-    ``n_rows / hot_rows`` entries, and with ``n_rows <= hot_rows`` the step is left out.
-    """
-    if n_rows <= hot_rows:
-        return big.join(table, key, how)
-    salts = F.ceil(F.col(rows_per_key) / F.lit(hot_rows)).cast("int")
-    hot = table.filter(F.col(rows_per_key) > hot_rows).select(key, salts.alias("_salts"))
-    salted = big.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int"), F.lit(0)))
-    copies = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt", "_salts")
-
-
 def seeded_order(seed: int, *keys: Column) -> Column:
     """Repeatable pseudo-random order key that any SQL engine can recompute."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))

@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from themeloom import constants as K
 from themeloom.functions import text
 from themeloom.functions.decisions import split_class
-from themeloom.operators.joins import balanced_join
 from themeloom.operators.linear import TopicModel
 
 
@@ -39,8 +38,8 @@ def topic_keywords(model: TopicModel, docs: DataFrame, id_col: str = "doc_id",
         .groupBy(id_col, general_col, "token").agg(F.min("_pos").alias("_pos"))
         .withColumn("term", text.f5_stem(F.col("token")))
     )
-    weights = model.terms.filter(F.col("analyzer") == block).select("term", "df", "w")
-    scored = balanced_join(tokens, weights, "term", "df", model.n_docs, F.col(id_col)).select(
+    weights = model.terms.filter(F.col("analyzer") == block).select("term", "w")
+    scored = tokens.join(weights, "term").select(
         id_col, general_col, "token", "_pos", weight.alias("_weight")).filter(
         F.col("_weight") >= min_weight)
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("_weight"), "_pos"))

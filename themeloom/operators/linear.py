@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 from themeloom import constants as K
 from themeloom.functions import decisions as D
 from themeloom.functions import text
+from themeloom.functions.binding import let
 from themeloom.operators import features
 from themeloom.operators.features import Ngrams, Vectorizer
 from themeloom.session import materialize
 
-# A label set larger than this is a mistake (an id column, say), not a taxonomy.
-MAX_CLASSES = 5_000
-
 
 @dataclass
 class TopicModel:
@@ -61,7 +59,7 @@ class TopicModel:
             if tf is None:
                 tf = features.term_counts(docs, block, id_col, text_col)
             table = self.terms.filter(F.col("analyzer") == block.name).drop("analyzer")
-            joined = features.join_terms(tf, table, self.n_docs, id_col).select(
+            joined = tf.join(table, "term").select(
                 id_col, features.raw_weight().alias("_x"), "w")
             sums = joined.groupBy(id_col).agg(
                 F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"),
@@ -86,38 +84,37 @@ class TopicModel:
 
 
 def class_list(labelled: DataFrame, label_col: str = "label") -> list[str]:
-    """Sorted classes.  The label set is a fixed taxonomy; a runaway one is refused."""
-    rows = labelled.select(label_col).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return sorted(r[0] for r in rows)
+    """Sorted classes: the labels of a taxonomy."""
+    return sorted(r[0] for r in labelled.select(label_col).distinct().collect())
 
 
 def class_totals(vectors: DataFrame, classes: Sequence[str], label_col: str = "label") -> DataFrame:
-    """(analyzer, term, totals array): feature mass per class, summed map-side first."""
-    sums = vectors.groupBy("analyzer", "term").agg(*[
-        F.sum(F.when(F.col(label_col) == c, F.col("weight")).otherwise(0.0)).alias(f"_t{i}")
-        for i, c in enumerate(classes)])
-    return sums.select("analyzer", "term",
-                       F.array(*[F.col(f"_t{i}") for i in range(len(classes))]).alias("totals"))
+    """(analyzer, term, totals array): feature mass per class.
+
+    Classes are rows while sums are taken, map-side first; a term then gathers one number for each
+    class that it occurs in.
+    """
+    sums = vectors.groupBy("analyzer", "term", label_col).agg(F.sum("weight").alias("_t"))
+    own = sums.groupBy("analyzer", "term").agg(
+        F.map_from_entries(F.collect_list(F.struct(label_col, "_t"))).alias("_by"))
+    names = F.array(*[F.lit(c) for c in classes])
+    return own.select("analyzer", "term", let(F.col("_by"), lambda by: F.transform(
+        names, lambda c: F.coalesce(F.try_element_at(by, c), F.lit(0.0)))).alias("totals"))
 
 
 def train_naive_bayes(labelled: DataFrame, blocks: Sequence[Ngrams], alpha: float = K.NB_ALPHA,
                       uniform_prior: bool = True, id_col: str = "doc_id", text_col: str = "text",
                       label_col: str = "label", vectorizer: Vectorizer | None = None,
-                      write_counts: bool = False, counts: dict[str, DataFrame] | None = None
-                      ) -> TopicModel:
+                      counts: dict[str, DataFrame] | None = None) -> TopicModel:
     """Multinomial naive Bayes on TF-IDF weights with Laplace smoothing.
 
-    ``write_counts`` writes the term counts to the shared folder first; worth it once counting
-    costs more than writing (large corpora, character n-grams).  ``counts`` are term counts with
-    the label kept, if the caller already has them.
+    Term counts are written once for vocabulary and vectors; ``counts`` are such counts with the
+    label kept, if the caller already has them.
     """
     classes = class_list(labelled, label_col)
     if vectorizer is None:
-        if write_counts and counts is None:
-            counts = {b.name: materialize(features.term_counts(labelled, b, id_col, text_col,
-                                                               [label_col])) for b in blocks}
+        if counts is None:
+            counts = features.count_terms(labelled, blocks, id_col, text_col, [label_col])
         vectorizer = features.fit(labelled, blocks, id_col, text_col, counts)
     vectors = vectorizer.transform(labelled, id_col, text_col, [label_col], counts)
     totals = class_totals(vectors, classes, label_col)
@@ -126,9 +123,10 @@ def train_naive_bayes(labelled: DataFrame, blocks: Sequence[Ngrams], alpha: floa
     k = len(classes)
     zero = F.array_repeat(F.lit(0.0), k)
     mass = F.coalesce(F.col("totals"), zero)
-    row = table.agg(F.count(F.lit(1)).alias("n"),
-                    *[F.sum(mass[i]).alias(f"z{i}") for i in range(k)]).first()
-    norms = [math.log((row[f"z{i}"] or 0.0) + alpha * row["n"]) for i in range(k)]
+    n_terms = table.count()
+    sums = {r["i"]: r["z"] for r in table.select(F.posexplode("totals").alias("i", "t")).groupBy(
+        "i").agg(F.sum("t").alias("z")).collect()}
+    norms = [math.log(sums.get(i, 0.0) + alpha * n_terms) for i in range(k)]
     weights = F.array(*[F.log(mass[i] + F.lit(alpha)) - F.lit(norms[i]) for i in range(k)])
     if uniform_prior:
         bias = [math.log(1.0 / k)] * k

@@ -1,67 +1,30 @@
-"""Class-weighted multinomial logistic regression on long-form features, by MLlib."""
+"""Class-weighted softmax regression on long-form features, with weights as rows.
+
+A model is a table with one row per (analyzer, term), so its size is bounded by the cluster.  A step
+joins vectors and weights by term, sums scores by document, takes the residuals, joins them back to
+the vectors by document and sums the gradient by term: full-batch gradient descent with momentum.
+Each step is written, so a step is a snapshot, a run stops at any of them, and one run serves every
+training length.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from themeloom import constants as K
+from themeloom.functions.decisions import softmax
 from themeloom.operators import features
 from themeloom.operators.features import Ngrams, Vectorizer
 from themeloom.operators.linear import TopicModel, class_list
-from themeloom.session import materialize, shuffle_width
-
-# MLlib keeps one dense coefficient matrix on the driver; 400 MB of it is the limit here.
-MAX_CELLS = 50_000_000
-
-
-def index_terms(vocabulary: DataFrame) -> tuple[DataFrame, int]:
-    """Vocabulary with a dense ``index`` in term order, and its size.
+from themeloom.session import materialize
 
-    Terms are range-partitioned and numbered inside their partition; one count per partition
-    turns that into global numbers.  The numbered table is written before it is counted, so both
-    readings see the same partitions.
-    """
-    spark = vocabulary.sparkSession
-    placed = vocabulary.repartitionByRange(
-        shuffle_width(spark), F.desc("analyzer"), "term").sortWithinPartitions(
-        F.desc("analyzer"), "term")
-    numbered = materialize(placed.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = {r["p"]: r["n"] for r in numbered.groupBy(part.alias("p")).agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = [], 0
-    for p in sorted(sizes):
-        offsets.append((p, total))
-        total += sizes[p]
-    table = spark.createDataFrame(offsets or [(0, 0)], "_p long, _offset long")
-    indexed = numbered.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn(
-        "index", (F.col("_offset") + local).cast("int")).drop("_id", "_p", "_offset")
-    return indexed, total
-
-
-def sparse_rows(vectors: DataFrame, indexed: DataFrame, size: int, keys: Sequence[str]
-                ) -> DataFrame:
-    """(keys, features) with MLlib sparse vectors, built without a Python function.
-
-    The vector type is a struct underneath; parsing that struct as JSON yields the vector.
-    """
-    joined = vectors.join(indexed.select("analyzer", "term", "index"), ["analyzer", "term"])
-    rows = joined.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("e"))
-    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
-                      F.col("e.index").alias("indices"), F.col("e.weight").alias("values"))
-    schema = StructType([StructField("v", VectorUDT())])
-    return rows.select(*keys, F.from_json(F.to_json(F.struct(vector.alias("v"))), schema)["v"]
-                       .alias("features"))
+# Shares add up to one and each block has unit length, which bounds the curvature: stable up to two
+# blocks.
+RATE = 2.0
+MOMENTUM = 0.9
 
 
 def class_weights(labelled: DataFrame, label_col: str = "label") -> DataFrame:
@@ -73,67 +36,92 @@ def class_weights(labelled: DataFrame, label_col: str = "label") -> DataFrame:
         label_col, "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
-def early_stop(score: Callable[[int], float], candidates: Sequence[int],
-               patience: int = K.EARLY_STOP_PATIENCE) -> tuple[int, list[tuple[int, float]]]:
-    """Best candidate and the history; stop after ``patience`` candidates without a gain."""
-    best, best_score, waited, history = candidates[0], float("-inf"), 0, []
-    for candidate in candidates:
-        value = score(candidate)
-        history.append((candidate, value))
+def early_stop(models: Iterable[tuple[int, TopicModel]], score: Callable[[TopicModel], float],
+               patience: int = K.EARLY_STOP_PATIENCE
+               ) -> tuple[int, TopicModel, list[tuple[int, float]]]:
+    """Best step, its model and the history; stop after ``patience`` steps without a gain."""
+    best, chosen, best_score, waited, history = 0, None, float("-inf"), 0, []
+    for step, model in models:
+        value = score(model)
+        history.append((step, value))
         if value > best_score:
-            best, best_score, waited = candidate, value, 0
+            best, chosen, best_score, waited = step, model, value, 0
         else:
             waited += 1
             if waited >= patience:
                 break
-    return best, history
+    return best, chosen, history
 
 
 class SoftmaxTrainer:
-    """Prepares features once and fits models of different length on them."""
+    """Prepares vectors once and runs steps on them.
+
+    Every labelled row trains: one without a known term has the bias alone, as everywhere else.
+    """
 
     def __init__(self, labelled: DataFrame, vectorizer: Vectorizer, id_col: str = "doc_id",
                  text_col: str = "text", label_col: str = "label", l2: float = K.SOFTMAX_L2,
-                 max_cells: int = MAX_CELLS):
-        self.vectorizer = vectorizer
+                 rate: float = RATE, momentum: float = MOMENTUM,
+                 counts: dict[str, DataFrame] | None = None):
+        self.vectorizer, self.l2, self.rate, self.momentum = vectorizer, l2, rate, momentum
         self.classes = class_list(labelled, label_col)
-        self.indexed, size = index_terms(vectorizer.vocabulary)
-        if size * len(self.classes) > max_cells:
-            raise ValueError(
-                f"{size} terms x {len(self.classes)} classes exceed the coefficient matrix MLlib "
-                "can hold on the driver; raise min_df or use naive Bayes, which stays distributed")
-        self.l2 = l2
-        vectors = vectorizer.transform(labelled, id_col, text_col, [label_col])
-        rows = sparse_rows(vectors, self.indexed, size, [id_col, label_col])
-        table = labelled.sparkSession.createDataFrame(
-            [(c, float(i)) for i, c in enumerate(self.classes)], f"`{label_col}` string, y double")
-        weights = class_weights(labelled, label_col).drop("n")
-        self.rows = materialize(
-            rows.join(F.broadcast(table), label_col).join(F.broadcast(weights), label_col)
-            .select("features", "y", "weight"))
-
-    def fit(self, epochs: int) -> TopicModel:
-        lr = LogisticRegression(
-            featuresCol="features", labelCol="y", weightCol="weight", family="multinomial",
-            regParam=self.l2, standardization=False, maxIter=epochs)
-        return self._as_model(lr.fit(self.rows))
-
-    def _as_model(self, fitted: LogisticRegressionModel) -> TopicModel:
-        spark = self.rows.sparkSession
-        matrix = fitted.coefficientMatrix.toArray().T
-        rows, k = matrix.shape
-        weights = spark.createDataFrame(pa.table({
-            "index": pa.array(np.arange(rows, dtype="int32")),
-            "w": pa.ListArray.from_arrays(np.arange(0, rows * k + 1, k, dtype="int32"),
-                                          np.ascontiguousarray(matrix).ravel())}))
-        terms = materialize(self.indexed.join(weights, "index").select(
-            "analyzer", "term", "df", "idf", "w"))
-        return TopicModel(tuple(self.vectorizer.blocks), self.vectorizer.n_docs, terms,
-                          self.classes, [float(b) for b in fitted.interceptVector])
+        self.vectors = materialize(vectorizer.transform(
+            labelled, id_col, text_col, counts=counts).select(
+                F.col(id_col).alias("_id"), "analyzer", "term", F.col("weight").alias("_x")))
+        names = F.array(*[F.lit(c) for c in self.classes])
+        # class weights over their sum, which is the number of rows
+        n_rows = labelled.count()
+        shares = class_weights(labelled, label_col).select(
+            label_col, (F.col("weight") / F.lit(n_rows)).alias("_share"))
+        self.rows = materialize(labelled.select(F.col(id_col).alias("_id"), label_col).join(
+            shares, label_col).select("_id", "_share", F.transform(
+                names, lambda c: (c == F.col(label_col)).cast("double")).alias("_y")))
+
+    def steps(self, epochs: int) -> Iterator[tuple[int, TopicModel]]:
+        """(step, model) after each of ``epochs`` steps."""
+        k = len(self.classes)
+        zero = F.array_repeat(F.lit(0.0), k)
+        table = self.vectorizer.vocabulary.withColumns({"w": zero, "_v": zero})
+        bias, speed = [0.0] * k, [0.0] * k
+        key = ["analyzer", "term"]
+        for step in range(1, epochs + 1):
+            scores = F.array(*[F.lit(b) for b in bias])
+            rows = self.rows
+            if step > 1:  # before the first step all weights are zero
+                sums = self.vectors.join(table.select(*key, "w"), key).groupBy("_id").agg(
+                    *[F.sum(F.col("_x") * F.col("w")[i]).alias(f"_z{i}") for i in range(k)])
+                rows = rows.join(sums, "_id", "left")
+                own = F.array(*[F.coalesce(F.col(f"_z{i}"), F.lit(0.0)) for i in range(k)])
+                scores = F.zip_with(scores, own, lambda a, b: a + b)
+            residual = F.zip_with(softmax(scores), F.col("_y"), lambda p, y: p - y)
+            residuals = materialize(rows.select("_id", F.transform(
+                residual, lambda r: r * F.col("_share")).alias("_r")))
+            total = residuals.agg(*[F.sum(F.col("_r")[i]).alias(f"g{i}") for i in range(k)]).first()
+            speed = [self.momentum * v - self.rate * (g or 0.0)
+                     for v, g in zip(speed, total, strict=True)]
+            bias = [b + v for b, v in zip(bias, speed, strict=True)]
+            slopes = self.vectors.join(residuals, "_id").groupBy(*key).agg(
+                *[F.sum(F.col("_x") * F.col("_r")[i]).alias(f"_g{i}") for i in range(k)])
+            joined = table.join(slopes, key, "left")
+            v = F.array(*[
+                F.lit(self.momentum) * F.col("_v")[i] - F.lit(self.rate) * (
+                    F.coalesce(F.col(f"_g{i}"), F.lit(0.0)) + F.lit(self.l2) * F.col("w")[i])
+                for i in range(k)])
+            moved = joined.select(*key, "df", "idf", "w", v.alias("_v"))
+            table = materialize(moved.withColumn(
+                "w", F.zip_with("w", "_v", lambda w, d: w + d)))
+            yield step, TopicModel(tuple(self.vectorizer.blocks), self.vectorizer.n_docs,
+                                   table.drop("_v"), self.classes, list(bias))
 
 
 def train_softmax(labelled: DataFrame, blocks: Sequence[Ngrams], epochs: int,
                   id_col: str = "doc_id", text_col: str = "text", label_col: str = "label",
-                  l2: float = K.SOFTMAX_L2) -> TopicModel:
-    vectorizer = features.fit(labelled, blocks, id_col, text_col)
-    return SoftmaxTrainer(labelled, vectorizer, id_col, text_col, label_col, l2).fit(epochs)
+                  l2: float = K.SOFTMAX_L2, **options) -> TopicModel:
+    """The model after ``epochs`` steps."""
+    counts = features.count_terms(labelled, blocks, id_col, text_col)
+    vectorizer = features.fit(labelled, blocks, id_col, text_col, counts)
+    trainer = SoftmaxTrainer(labelled, vectorizer, id_col, text_col, label_col, l2, counts=counts,
+                             **options)
+    for _, model in trainer.steps(epochs):
+        pass
+    return model

@@ -58,10 +58,10 @@ def ingest_results(queries: DataFrame, answers: DataFrame, ttl_hours: float = K.
 
     ``queries``: query_id, query, ts.  ``answers``: query_key, provider, priority, payload and
     outcome ("payload", "offline" or "error").  The cache key is the normalised query; rows are
-    stored again on a hit.
+    stored again on a hit.  A query without results has one row that says why: offline, empty or
+    error, and error where no answer was given at all; its rank is null.
     """
-    keyed = queries.withColumn("query_key", text.normalize(F.col("query"))).filter(
-        F.col("query_key") != "")
+    keyed = queries.withColumn("query_key", text.normalize(F.col("query")))
     payloads = answers.filter(F.col("outcome") == "payload").select(
         F.concat_ws("|", "query_key", "provider").alias("_answer"), "provider", "payload")
     wiki = search_payloads.encyclopedia_results(
@@ -78,13 +78,16 @@ def ingest_results(queries: DataFrame, answers: DataFrame, ttl_hours: float = K.
                     .when(F.col("_n") > 0, K.STATUS_OK)
                     .when((F.col("outcome") == "error") | failed, K.STATUS_ERROR)
                     .otherwise(K.STATUS_EMPTY)))
-    chosen = search_payloads.choose_provider(outcomes, "query_key").filter(
-        F.col("status") == K.STATUS_OK)
-    answered = keyed.join(chosen.select("query_key", "provider"), "query_key")
+    chosen = search_payloads.choose_provider(outcomes, "query_key")
+    asked = keyed.join(chosen, "query_key", "left").withColumn(
+        "status", F.coalesce("status", F.lit(K.STATUS_ERROR)))
+    answered = asked.filter(F.col("status") == K.STATUS_OK)
     cached = replay.replay_cache(answered, "query_key", "ts", "query_id", ttl_hours)
-    return (answered.join(cached.select("query_id", F.col("hit").cast("int").alias("from_cache")),
-                          "query_id")
-            .withColumn("_answer", F.concat_ws("|", "query_key", "provider"))
-            .join(results.drop("source"), "_answer")
-            .select("query_id", "query", "rank", "title", "summary", "url",
-                    F.col("provider").alias("source"), "from_cache"))
+    columns = ["query_id", "query", "status", "rank", "title", "summary", "url",
+               F.col("provider").alias("source"), "from_cache"]
+    found = (answered.join(cached.select("query_id", F.col("hit").cast("int").alias("from_cache")),
+                           "query_id")
+             .withColumn("_answer", F.concat_ws("|", "query_key", "provider"))
+             .join(results.drop("source"), "_answer").select(*columns))
+    without = asked.filter(F.col("status") != K.STATUS_OK).select("query_id", "query", "status")
+    return found.unionByName(without.withColumn("from_cache", F.lit(0)), allowMissingColumns=True)

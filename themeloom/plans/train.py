@@ -28,9 +28,9 @@ class Training:
 
 
 def macro_f1(model: TopicModel, rows: DataFrame, labels: Sequence[str], id_col: str,
-             text_col: str) -> float:
+             text_col: str, counts: dict[str, DataFrame] | None = None) -> float:
     """Macro F1 of the best guess over the general labels."""
-    p = model.probabilities(rows, id_col, text_col, ["general"])
+    p = model.probabilities(rows, id_col, text_col, ["general"], counts)
     pairs = p.select(F.col("general").alias("true"),
                      D.top(D.marginals(F.col("probabilities"), model.classes))["name"]
                      .alias("pred"))
@@ -39,7 +39,7 @@ def macro_f1(model: TopicModel, rows: DataFrame, labels: Sequence[str], id_col:
 
 def train(records: DataFrame, labels: Sequence[str], blocks: Sequence[Ngrams] | None = None,
           id_col: str = "doc_id", text_col: str = "text", other: str = K.OTHER_LABEL,
-          epochs: Sequence[int] = tuple(range(1, K.SOFTMAX_MAX_EPOCHS + 1)),
+          epochs: int = K.SOFTMAX_MAX_EPOCHS,
           alpha: float = K.NB_ALPHA, commit: str | None = None) -> Training:
     """``records`` hold the splits train, val and ood_val; test data is never read.
 
@@ -50,29 +50,29 @@ def train(records: DataFrame, labels: Sequence[str], blocks: Sequence[Ngrams] |
     blocks = tuple(blocks or features.default_blocks())
     named = records.withColumn("label", D.joint_label(F.col("general"), F.col("subtopic")))
     part = {s: named.filter(F.col("split") == s) for s in ("train", "val", "ood_val")}
-    vectorizer = features.fit(part["train"], blocks, id_col, text_col)
+    counts = features.count_terms(part["train"], blocks, id_col, text_col, ["label"])
+    vectorizer = features.fit(part["train"], blocks, id_col, text_col, counts)
     vectorizer.vocabulary = materialize(vectorizer.vocabulary)
 
     bayes = linear.train_naive_bayes(part["train"], blocks, alpha, True, id_col, text_col,
-                                     vectorizer=vectorizer)
-    trainer = SoftmaxTrainer(part["train"], vectorizer, id_col, text_col)
-    fitted: dict[int, TopicModel] = {}
-
-    def score(n: int) -> float:
-        fitted[n] = trainer.fit(n)
-        return macro_f1(fitted[n], part["val"], labels, id_col, text_col)
-
-    best_epochs, history = early_stop(score, epochs)
-    scores = {"naive_bayes": macro_f1(bayes, part["val"], labels, id_col, text_col),
+                                     vectorizer=vectorizer, counts=counts)
+    unknown = part["val"].filter(~F.col("label").isin(*bayes.classes)).select("label").first()
+    if unknown:
+        raise ValueError(f"validation has a class that train lacks: {unknown.label}")
+    trainer = SoftmaxTrainer(part["train"], vectorizer, id_col, text_col, counts=counts)
+    tried = features.count_terms(part["val"], blocks, id_col, text_col)
+    best_epochs, softmax, history = early_stop(
+        trainer.steps(epochs), lambda m: macro_f1(m, part["val"], labels, id_col, text_col, tried))
+    scores = {"naive_bayes": macro_f1(bayes, part["val"], labels, id_col, text_col, tried),
               "softmax": max(v for _, v in history)}
     use_softmax = scores["softmax"] >= scores["naive_bayes"]
-    chosen = fitted[best_epochs] if use_softmax else bayes
+    chosen = softmax if use_softmax else bayes
 
     tuning = part["val"].unionByName(part["ood_val"])
     logits = materialize(chosen.logits(tuning, id_col, text_col, ["general", "label", "split"]))
     known = F.array(*[F.lit(c) for c in chosen.classes])
     targets = logits.filter(F.col("split") == "val").withColumn(
-        "target", (F.array_position(known, F.col("label")) - 1).cast("int")).filter("target >= 0")
+        "target", (F.array_position(known, F.col("label")) - 1).cast("int"))
     temperature = calibration.fit_temperature(targets)
     best = D.top(D.marginals(D.softmax(F.col("logits"), temperature), chosen.classes))
     scored = logits.select(F.col("general").alias("true"), best.alias("b")).select(

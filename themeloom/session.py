@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def working_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables.
+    """Shared folder for intermediate tables, as ``spark.checkpoint.dir`` names it.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session without that setting
-    (tests, laptops) gets a folder of its own; on a cluster a missing setting is an error, because
-    a machine-local folder would be lost with the executor that wrote it.
+    A missing setting is an error: a folder of one machine would be lost with the executor that
+    wrote it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="themeloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application below the shared one."""
+    return f"{working_dir(spark)}/themeloom/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that read them must be written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -32,7 +37,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     table survives lost executors, cuts the lineage, and later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{working_dir(spark)}/themeloom/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -40,22 +45,11 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """Explicit partition count for exchanges ahead of an ``explode``.
-
-    Adaptive execution sizes a shuffle by its *input* bytes and would fold a few megabytes of
-    text into one task although the n-grams made from it are a hundred times larger; a fixed
-    number keeps the parallelism.
-    """
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-               spark.sparkContext.defaultParallelism)
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the input has fewer splits than there are cores.
+    """Deal rows out to all cores if the input has fewer files than there are cores.
 
-    A small file with one row group would otherwise be worked on by one task.  Large inputs have
-    far more splits than cores and are left as they are, without an exchange.
+    A small file with one row group would otherwise be worked on by one task.  Inputs of many files
+    are left as they are, without an exchange.
     """
     width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+    return df.repartition(width) if len(df.inputFiles()) < width else df

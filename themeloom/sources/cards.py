@@ -23,14 +23,14 @@ class DatasetError(RuntimeError):
 
 
 def read_cards(spark: SparkSession, folder: str, keys: Sequence[str] = K.CARD_KEYS,
-               expected: int | None = None) -> DataFrame:
+               expected: int | None = None, pattern: str = "*.json") -> DataFrame:
     """(path, position, category, term, definition) from a folder of JSON-array files.
 
     A file is one array; each is read whole by one task, files in parallel.  Corrupt files and
     cards without a required field raise; a payload that is no array is skipped.  (path,
     position) is the original order.
     """
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    files = (spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
              .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("_json")))
     corrupt = files.filter(F.json_array_length("_json").isNull()
                            & F.json_object_keys("_json").isNull()
@@ -60,11 +60,12 @@ def read_cards(spark: SparkSession, folder: str, keys: Sequence[str] = K.CARD_KE
     return cards
 
 
-def read_paragraphs(spark: SparkSession, folder: str, source: str) -> DataFrame:
+def read_paragraphs(spark: SparkSession, folder: str, source: str,
+                    pattern: str = "*.json") -> DataFrame:
     """(source, text) of every paragraph in question-answering files."""
     schema = "data array<struct<paragraphs:array<struct<context:string>>>>"
     raw = (spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
-           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder))
+           .option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder))
     paragraphs = raw.select(F.explode("data.paragraphs").alias("p")).select(
         F.explode("p.context").alias("text"))
     return paragraphs.select(F.lit(source).alias("source"), "text")

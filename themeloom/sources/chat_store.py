@@ -30,10 +30,11 @@ def count_rows(spark: SparkSession, root: str, table: str) -> int:
     return read_table(spark, root, table).count()
 
 
-def insert_or_ignore(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet; the first of equal new keys counts."""
+def insert_or_ignore(new: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of ``new`` whose key is not stored yet; of equal new keys the first by ``order``."""
     fresh = new.join(existing.select(key), key, "left_anti")
-    return fresh.dropDuplicates([key]).select(*new.columns)
+    first = F.min_by(F.struct(*new.columns), F.col(order))
+    return fresh.groupBy(F.col(key).alias("_key")).agg(first.alias("_row")).select("_row.*")
 
 
 def sessions_of(messages: DataFrame, keys: Sequence[str], ts: str, closed: Column) -> DataFrame:

@@ -13,7 +13,7 @@ def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     base = root.getFileSystem(conf).makeQualified(root).toUri().getPath()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    return files.select(F.substring(path, len(base.rstrip("/")) + 2, 10_000).alias("path"),
+    return files.select(F.substr(path, F.lit(len(base.rstrip("/")) + 2)).alias("path"),
                         F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
@@ -30,7 +30,8 @@ def provenance(files: DataFrame) -> DataFrame:
     """Per source: number of files, bytes and an order-free digest of its (path, hash) pairs."""
     return files.groupBy("source").agg(
         F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"),
-        F.bit_xor(F.xxhash64("path", "sha256")).alias("digest"))
+        F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", "path", "sha256"), 256), 1, 12), 16, 10)
+              .cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
 def dataset_info(records: DataFrame, commit: str | None) -> DataFrame:

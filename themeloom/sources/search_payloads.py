@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from themeloom import constants as K
 from themeloom.functions import text
+from themeloom.session import materialize
 
-MAX_TOPIC_DEPTH = 6
 _NO_ITEMS = "array<string>"
 
 
@@ -76,32 +76,44 @@ def encyclopedia_results(payloads: DataFrame, id_col: str = "query_id", payload:
     return _result_rows(good, id_col, limit, "wikipedia")
 
 
-def _flatten_topics(topics: Column, depth: int) -> Column:
-    """Depth-first leaves of nested topic groups, as JSON texts."""
-    for _ in range(depth):
-        topics = F.flatten(F.transform(topics, lambda t: F.when(
-            _has(t, "Topics"), _items(_text(t, "Topics"))).otherwise(F.array(t))))
-    return topics
+def _leaves(topics: DataFrame, id_col: str) -> DataFrame:
+    """(id, _pos, _leaf): what no group holds any more, with its path through the groups.
+
+    ``topics``: id and an array of JSON texts.  Groups are opened level by level until none is
+    left; paths sort in document order.
+    """
+    rows = materialize(topics.select(id_col, F.posexplode("_topics").alias("_at", "_leaf")).select(
+        id_col, F.array("_at").alias("_pos"), "_leaf"))
+    found = None
+    while True:
+        group = _has(F.col("_leaf"), "Topics")
+        done = rows.filter(~group)
+        found = done if found is None else found.unionByName(done)
+        groups = rows.filter(group)
+        if groups.isEmpty():
+            return found
+        rows = materialize(groups.select(id_col, "_pos", F.posexplode(
+            _items(_text(F.col("_leaf"), "Topics"))).alias("_at", "_leaf")).select(
+                id_col, F.array_append("_pos", F.col("_at")).alias("_pos"), "_leaf"))
 
 
 def answer_results(payloads: DataFrame, id_col: str = "query_id", payload: str = "payload",
-                   limit: int = K.MAX_RESULTS, hosts=K.ALLOWED_HOSTS,
-                   depth: int = MAX_TOPIC_DEPTH) -> DataFrame:
+                   limit: int = K.MAX_RESULTS, hosts=K.ALLOWED_HOSTS) -> DataFrame:
     """(id, rank, title, summary, url, source) of instant-answer payloads.
 
-    The abstract comes first, then related topics in document order, groups opened depth-first.
+    The abstract comes first, then related topics in document order, groups opened depth-first
+    however deep they are.
     """
     p = F.col(payload)
     usable = payloads.filter(F.json_object_keys(p).isNotNull())
     abstract_url = _text(p, "AbstractURL")
     abstract = usable.select(
-        id_col, F.lit(0.0).alias("_order"), F.lit(0).alias("_pos"),
+        id_col, F.lit(0.0).alias("_order"), F.array().cast("array<int>").alias("_pos"),
         F.coalesce(F.nullif(_text(p, "Heading"), F.lit("")), abstract_url).alias("_title"),
         _text(p, "AbstractText").alias("_text"), abstract_url.alias("url"))
     leaf = F.col("_leaf")
-    related = usable.select(id_col, F.posexplode(
-        _flatten_topics(_items(_text(p, "RelatedTopics")), depth)).alias("_pos", "_leaf")).filter(
-        F.json_object_keys(leaf).isNotNull() & ~_has(leaf, "Topics")).select(
+    related = _leaves(usable.select(id_col, _items(_text(p, "RelatedTopics")).alias("_topics")),
+                      id_col).filter(F.json_object_keys(leaf).isNotNull()).select(
         id_col, F.lit(1.0).alias("_order"), "_pos",
         F.split(_text(leaf, "Text"), " - ", 2)[0].alias("_title"),
         _text(leaf, "Text").alias("_text"), _text(leaf, "FirstURL").alias("url"))
@@ -114,12 +126,6 @@ def answer_results(payloads: DataFrame, id_col: str = "query_id", payload: str =
     return _result_rows(rows, id_col, limit, "duckduckgo")
 
 
-def too_deep(payload: Column, depth: int = MAX_TOPIC_DEPTH) -> Column:
-    """How many topic groups lie below the depth that is opened."""
-    leaves = _flatten_topics(_items(_text(payload, "RelatedTopics")), depth)
-    return F.size(F.filter(leaves, lambda t: _has(t, "Topics")))
-
-
 def choose_provider(outcomes: DataFrame, id_col: str = "query_id", priority: str = "priority",
                     provider: str = "provider", status: str = "status") -> DataFrame:
     """(id, status, provider): the first provider with results.

@@ -11,15 +11,15 @@ from themeloom import constants as K
 
 
 def stream_cache(log: DataFrame, key: str, ts: str, id_col: str,
-                 ttl_hours: float = K.CACHE_TTL_HOURS, delay: str = "1 hour") -> DataFrame:
+                 ttl_hours: float = K.CACHE_TTL_HOURS, delay: str | None = None) -> DataFrame:
     """(id, key, hit, cached_at): state per key is one time stamp.
 
-    The stamp is dropped once the watermark has passed its lifetime, so state holds live cache
-    entries only.  Lookups are ordered inside a micro-batch; across batches the log is expected
-    in order within ``delay``.
+    Every lookup gets a row.  Lookups are ordered inside a micro-batch; across batches they count as
+    they come.  With ``delay`` a stamp is let go once the watermark has passed its lifetime, so
+    state holds live entries only, and Spark leaves out lookups that are later than that.
     """
     ttl = int(ttl_hours * 3_600_000_000)
-    rows = log.withWatermark(ts, delay).select(
+    rows = (log.withWatermark(ts, delay) if delay else log).select(
         F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("t"),
         F.col(id_col).alias("id"))
 
@@ -36,13 +36,14 @@ def stream_cache(log: DataFrame, key: str, ts: str, id_col: str,
                 stamp = int(row.t)
             out.append((row.id, group[0], hit, stamp))
         state.update((stamp,))
-        expires = (stamp + ttl) // 1_000 + 1
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        if delay:
+            expires = (stamp + ttl) // 1_000 + 1
+            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["id", "key", "hit", "stamp"])
 
     kind = dict(log.dtypes)
     result = rows.groupBy("key").applyInPandasWithState(
         lookup, f"id {kind[id_col]}, key {kind[key]}, hit boolean, stamp long", "stamp long",
-        "append", GroupStateTimeout.EventTimeTimeout)
+        "append", GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout)
     return result.select(F.col("id").alias(id_col), F.col("key").alias(key), "hit",
                          F.timestamp_micros("stamp").alias("cached_at"))
