@@ -143,6 +143,25 @@ def filter_of(items: DataFrame) -> Filter:
                   got.bits.to_numpy().astype(np.int64).view(np.uint64))
 
 
+def least_hits(n: int, similarity: float) -> int:
+    """Shingles that two bags of n have in common at least if they are that similar."""
+    return int(np.ceil(2 * similarity * n / (1 + similarity) - 1e-9))
+
+
+def promising(hashes: np.ndarray, first: np.ndarray, seen: Filter, similarity: float) -> np.ndarray:
+    """Rows where a stretch as long as the largest window has the hits that the smallest needs."""
+    n = len(hashes)
+    found = np.zeros(n + 1, dtype=np.int64)
+    for k in {min(SHINGLE, s) for s in seen.sizes}:
+        counts = [s - k + 1 for s in seen.sizes if min(SHINGLE, s) == k]
+        own, inside = runs(hashes, first, k)
+        total = np.concatenate([[0], np.cumsum(inside & seen.has(own))])
+        end = np.minimum(np.arange(n) + max(counts), n)
+        found[1:] |= total[end] - total[:-1] >= least_hits(min(counts), similarity)
+    found = np.cumsum(found)
+    return np.flatnonzero(found[first[1:]] > found[first[:-1]])
+
+
 def windows_of(hashes: np.ndarray, seen: Filter, similarity: float):
     """(start, size, fp, shingles) of the windows of one text that can match an item."""
     n = len(hashes)
@@ -160,7 +179,7 @@ def windows_of(hashes: np.ndarray, seen: Filter, similarity: float):
         if not any_.any():
             continue
         m = size - k + 1  # shingles of a window
-        need = int(np.ceil(2 * similarity * m / (1 + similarity) - 1e-9))
+        need = least_hits(m, similarity)
         hits = any_.copy()
         hits[any_] = seen.has(sized(own[any_], size))
         total = np.concatenate([[0], np.cumsum(hits)])
@@ -179,14 +198,8 @@ def candidate_windows(docs: DataFrame, seen: Filter, similarity: float) -> DataF
             for part in slices(batch, "text"):
                 found = words(part.column("text"), BETWEEN_TERMS)
                 hashes = word_hashes(found)
-                near = np.zeros(len(hashes) + 1, dtype=np.int64)
-                for k in {min(SHINGLE, s) for s in seen.sizes}:
-                    own, inside = runs(hashes, found.first, k)
-                    near[1:] |= inside & seen.has(own)
-                near = np.cumsum(near)
-                some = np.flatnonzero(near[found.first[1:]] > near[found.first[:-1]])
                 out: list[list] = [[], [], [], [], []]
-                for i in some.tolist():
+                for i in promising(hashes, found.first, seen, similarity).tolist():
                     own = hashes[found.first[i]:found.first[i + 1]]
                     for window in windows_of(own, seen, similarity):
                         for column, value in zip(out, (i, *window), strict=True):
