@@ -49,22 +49,6 @@ def counted(items: Column) -> Column:
         F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
-def counted_parts(whole: Column, parts) -> Column:
-    """The same of the parts of counted texts: ``parts(text)`` are the texts of one of them."""
-    def cut(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1),
-                          lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
-            F.get(s, i)["term"].alias("term"), F.aggregate(
-                F.slice(s, i + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - i),
-                F.lit(0).cast("long"), lambda n, e: n + e["tf"]).alias("tf"))))
-
-    each = F.flatten(F.transform(whole, lambda w: F.transform(parts(w["term"]), lambda g: F.struct(
-        g.alias("term"), w["tf"].alias("tf")))))
-    return let(F.sort_array(each), lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(
-        F.array().cast("array<struct<term:string,tf:bigint>>")))
-
-
 def word_ngrams(toks: Column, low: int, high: int) -> Column:
     """All n-grams of a token array, repeats kept."""
     return F.concat(*[_word_spans(toks, n) for n in range(low, high + 1)])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from themeloom.functions import ngrams, text
+from themeloom.functions import chargrams, ngrams, text
 from themeloom.functions.binding import let
 from themeloom.session import materialize
 
@@ -68,12 +68,10 @@ def term_counts(docs: DataFrame, block: Ngrams, id_col: str = "doc_id", text_col
         found = let(F.col("_toks"), lambda t: ngrams.counted(
             ngrams.word_ngrams(t, block.low, block.high)))
         return toks.select(*ids, F.inline(found))
-    # Character n-grams never cross a word, so they are cut from the distinct words of a document
-    # and weighted by how often the word occurs: less text to cut, fewer to sort.
-    found = ngrams.counted_parts(
-        ngrams.counted(text.words(F.col("_text"))),
-        lambda word: ngrams.char_ngrams(word, block.low, block.high))
-    return prepared.select(*ids, F.inline(found))
+    # Character n-grams are many short windows: counted on code points, batch by batch.
+    fields = ", ".join(f"`{c}` {kind}" for c, kind in prepared.select(*ids).dtypes)
+    return prepared.mapInArrow(lambda batches: chargrams.counted_batches(
+        batches, ids, "_text", block.low, block.high), f"{fields}, term string, tf long")
 
 
 def count_terms(docs: DataFrame, blocks: Sequence[Ngrams], id_col: str = "doc_id",
