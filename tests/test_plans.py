@@ -79,10 +79,14 @@ def test_evaluation(splits, training):
 
 def test_chat(spark, training):
     rows = [(1, 0, "Roman ve şiir yazar."), (1, 1, "!!!"), (1, 2, "mercek prizma ışık kırılma"),
-            (1, 3, "SIFIRLA"), (1, 4, "hakem penaltı gol"), (2, 0, "gol forvet kaleci")]
+            (1, 3, "SIFIRLA"), (1, 4, "hakem penaltı gol"), (2, 0, "gol forvet kaleci"),
+            (2, 1, "Çıkış"), (2, 2, " HELP ")]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, text string")
     out = chat.process_messages(training.model.with_decision(training.model.temperature, 0.0), messages,
                                 min_weight=-100.0)
+    quiet = chat.empty_messages(messages).collect()
+    assert [(r.conv_id, r.turn, r.status, r.warnings) for r in quiet] == [
+        (1, 1, "empty", ["no content"])]
     got = {r.message_id: r for r in out.collect()}
     assert set(got) == {"1:0", "1:2", "1:4", "2:0"}
     assert [got[m].message_index for m in ("1:0", "1:2", "1:4", "2:0")] == [1, 2, 1, 1]

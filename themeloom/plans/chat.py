@@ -17,6 +17,24 @@ from themeloom.sources import search_payloads
 SESSION_KEYS = ("conv_id", "session_no")
 
 
+def _is_control(message: Column) -> Column:
+    """Words that steer the program and say nothing: they take no part in the chat."""
+    return F.coalesce(text.is_command(text.strip(message), (
+        *K.EXIT_COMMANDS, *K.HISTORY_COMMANDS, *K.HELP_COMMANDS)), F.lit(False))
+
+
+def empty_messages(messages: DataFrame, reset: Column | None = None,
+                   stopwords: Sequence[str] = K.STOPWORDS) -> DataFrame:
+    """(conv_id, turn, text, status, warnings) of messages without content: they are not scored,
+    and whoever wrote them is told so.  Control words and resets are not among them."""
+    message = F.col("text")
+    reset = text.is_command(text.strip(message), K.RESET_COMMANDS) if reset is None else reset
+    quiet = ~text.has_content(text.normalize(message), stopwords) & ~reset & ~_is_control(message)
+    return messages.filter(quiet).select(
+        "conv_id", "turn", "text", F.lit(K.STATUS_EMPTY).alias("status"),
+        F.array(F.lit("no content")).alias("warnings"))
+
+
 def process_messages(model: TopicModel, messages: DataFrame, reset: Column | None = None,
                      stopwords: Sequence[str] = K.STOPWORDS, other: str = K.OTHER_LABEL,
                      forms: phrases.Forms = K.TOPIC_FORMS,
@@ -30,7 +48,7 @@ def process_messages(model: TopicModel, messages: DataFrame, reset: Column | Non
     reset = text.is_command(text.strip(F.col("text")), K.RESET_COMMANDS) if reset is None else reset
     shown = text.strip(F.col("text")) if max_chars is None else text.clip(
         F.col("text"), max_chars)["text"]
-    content = text.has_content(text.normalize(shown), stopwords)
+    content = text.has_content(text.normalize(shown), stopwords) & ~_is_control(F.col("text"))
     kept = conversation.segment_sessions(messages, reset, content).withColumn(
         "message_id", F.concat_ws(":", "conv_id", "turn"))
     scored = linear.predict(model, kept, "message_id", "text", max_chars, stopwords, other,
