@@ -182,8 +182,7 @@ class Parsed(NamedTuple):
 def _sections(packets: np.ndarray, kind: int) -> list[bytes]:
     """Bodies of the program tables that begin in the given packets, if their checksum holds."""
     out = []
-    for row in np.unique(packets[:, 4:], axis=0):
-        data = row.tobytes()
+    for data in dict.fromkeys(row.tobytes() for row in packets[:, 4:]):
         data = data[1 + data[0]:]
         size = 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)
         if data[:1] == bytes([kind]) and not table_checksum(data[:size]):
