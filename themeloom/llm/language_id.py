@@ -123,12 +123,16 @@ def support_vector(x: np.ndarray, y: np.ndarray, passes: int = PASSES,
 
 
 def sample(docs: DataFrame, per_language: int, most_texts: int) -> DataFrame:
-    """(lang, text) of at most so many rows of each language, by a hash of their ids."""
-    counts = docs.groupBy("lang").count()
-    langs = counts.count()
-    quota = max(1, min(per_language, most_texts // max(langs, 1)))
+    """(lang, text) of at most so many rows of each language, by a hash of their ids.
+
+    With more than ``most_texts`` languages, those with the most rows.
+    """
+    counts = materialize(docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(
+        most_texts))
+    quota = max(1, min(per_language, most_texts // max(counts.count(), 1)))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    thin = docs.join(counts, "lang").filter(chance * F.col("count") <= 2 * quota + 50)
+    # no more rows than most_texts, so texts needn't be shuffled for it
+    thin = docs.join(F.broadcast(counts), "lang").filter(chance * F.col("count") <= 2 * quota + 50)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "text")
     return thin.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quota).select(
         "lang", "text")
