@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from themeloom import constants as K
 from themeloom.functions.binding import let
 from themeloom.operators.joins import running_total
+from themeloom.session import materialize
 
 
 def pair_counts(pairs: DataFrame, true_col: str = "true", pred_col: str = "pred",
@@ -182,18 +183,18 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
                     by: Sequence[str] = (), n_buckets: int = 256) -> DataFrame:
     """(by, probability, value): exact quantiles with linear interpolation.
 
-    Equal values are counted together first.  Approximate quantiles cut the value range into
-    buckets; ranks run inside (by, bucket) and start from the totals of lower buckets, so no
-    task sees all values of a group.
+    Equal values are counted together first, and written.  Approximate quantiles of each group cut
+    its values into buckets; ranks run inside (by, bucket) and start from the totals of lower
+    buckets, so no task sees all values of a group.
     """
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(1))
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(
-        *keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = sorted(set(df.approxQuantile(value, [i / n_buckets for i in range(1, n_buckets)],
-                                        1.0 / n_buckets)))
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    bucketed = counted.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b < F.col("_v"))))
+    counted = materialize(rows.filter(F.col(value).isNotNull()).groupBy(
+        *keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx(
+        "_v", [i / n_buckets for i in range(1, n_buckets)], 4 * n_buckets).alias("_cuts"))
+    bucketed = counted.join(cuts, keys).withColumn("_bucket", let(F.col("_v"), lambda v: F.size(
+        F.filter("_cuts", lambda b: b < v)))).drop("_cuts")
     ranked = running_total(bucketed, keys, "_bucket", [F.col("_v")], F.col("_n"), "_last")
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     wanted = totals.select(
