@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from themeloom import constants as K
@@ -163,18 +162,12 @@ def cache_replay(spark, sf):
     return out.select("event_id", "user_id", "hit", "cached_us")
 
 
-@query(_REPLAY)
+@query(_REPLAY.replace("user_id", "event_type"))
 def cache_replay_long_keys(spark, sf):
-    """The same by the path for keys with very many events, forced for every key."""
+    """The same with very few keys of very many events."""
     log = table(spark, sf, "events")
-    gap = 24 * 3_600_000_000
-    events = log.select(F.col("user_id").alias("key"), replay.micros(log, "ts").alias("t"),
-                        F.col("event_id").alias("id"))
-    chain = replay.anchors(events, gap, True, fold_events=0)
-    out = replay.covered_events(events, chain, gap, True)
-    miss = (F.col("t") == F.col("_a")) & (F.col("id") == F.col("_aid"))
-    return out.select(F.col("id").alias("event_id"), F.col("key").alias("user_id"),
-                      (~miss).alias("hit"), F.col("_a").alias("cached_us"))
+    out = replay.replay_cache(log, "event_type", "ts", "event_id")
+    return out.select("event_id", "event_type", "hit", "cached_us")
 
 
 @query(_REPLAY)
@@ -397,14 +390,19 @@ def file_provenance(spark, sf):
     return provenance.provenance(_digests(spark, sf))
 
 
-@query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos
-  FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations)""")
+@query("""SELECT conv_id, turn, 'r' || k AS title, row_number() OVER (PARTITION BY conv_id ORDER BY
+    turn, k) AS pos FROM conversations CROSS JOIN (SELECT unnest([1, 2, 3]) AS k)
+  WHERE k <= 1 + turn % 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')""")
 def session_results(spark, sf):
-    """Rows of one session, the latest, in the order they were stored."""
+    """Search rows of all sessions with a system message, in the order they were stored."""
     turns = table(spark, sf, "conversations")
-    rows = turns.select("conv_id", "turn", "role", F.col("conv_id").alias("session_id"),
-                        F.col("turn").alias("message_index"), F.col("turn").alias("rank"))
-    last = turns.agg(F.max("conv_id")).first()[0]
-    stored = chat_store.session_results(rows, F.lit(last))
-    order = Window.partitionBy("conv_id").orderBy("message_index", "rank")
-    return stored.select("conv_id", "turn", "role", F.row_number().over(order).alias("pos"))
+    listed = F.transform(F.sequence(F.lit(1).cast("long"), F.col("turn") % 3 + 1), lambda k: F.struct(
+        F.concat(F.lit("r"), k.cast("string")).alias("title")))
+    stored = chat_store.search_rows(turns.select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("message_index"),
+        F.lit("q").alias("search_query"), listed.alias("results"), F.lit(False)
+        .alias("from_cache")))
+    sessions = turns.filter("role = 'system'").select(F.col("conv_id").alias("session_id"))
+    rows = chat_store.session_results(stored, sessions)
+    return rows.select(F.col("session_id").alias("conv_id"),
+                       F.col("message_index").alias("turn"), "title", "pos")

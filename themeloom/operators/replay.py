@@ -1,10 +1,9 @@
 """Replaying time rules over a log: result cache with a lifetime, cooldown after a failure.
 
 Both rules are the same chain.  An *anchor* (a cache miss, an offline answer) rules the time that
-follows it; the next anchor is the first later event the last one no longer covers.  Keys with
-few events are folded in one row.  For keys with very many, each event's successor is found by
-time slices and the chain from the first event is followed by pointer doubling, so the work of
-one key is spread over the cluster and takes log2(chain length) rounds.
+follows it; the next anchor is the first later event the last one no longer covers.  Each event's
+successor is found by time slices and the chain from the first event is followed by pointer
+doubling, so the work of one key is spread over the cluster and takes log2(chain length) rounds.
 """
 
 from __future__ import annotations
@@ -16,45 +15,30 @@ from pyspark.sql.window import Window
 from themeloom import constants as K
 from themeloom.session import materialize
 
-FOLD_EVENTS = 10_000
 SLICES_PER_GAP = 64
 
 
-def anchors(events: DataFrame, gap_us: int, strict: bool, fold_events: int = FOLD_EVENTS
-            ) -> DataFrame:
+def anchors(events: DataFrame, gap_us: int, strict: bool) -> DataFrame:
     """(key, t, id) of the chain from events (key, t in microseconds, id).
 
     The next anchor is the first event later than ``t + gap`` (``strict``) or not before it.
     """
-    times = events.groupBy("key", "t").agg(F.min("id").alias("id"))
-    sizes = times.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > fold_events).select("key")
-    if hot.isEmpty():
-        return _fold(times, gap_us, strict)
-    times = materialize(times)
-    hot = materialize(hot)
-    # At most (events / fold_events) keys are hot.
-    small = times.join(hot, "key", "left_anti")
-    large = times.join(hot, "key", "left_semi")
-    return _fold(small, gap_us, strict).unionByName(_double(large, gap_us, strict))
+    times = materialize(events.groupBy("key", "t").agg(F.min("id").alias("id")))
+    jumps = materialize(_successors(times, gap_us, strict).filter(F.col("next").isNotNull()))
+    reached = materialize(times.groupBy("key").agg(F.min("t").alias("t")))
+    while not jumps.isEmpty():
+        ahead = reached.join(jumps, ["key", "t"]).select("key", F.col("next").alias("t"))
+        reached = materialize(reached.unionByName(ahead).distinct())
+        second = jumps.select("key", F.col("t").alias("next"), F.col("next").alias("_far"))
+        jumps = materialize(jumps.join(second, ["key", "next"]).select(
+            "key", "t", F.col("_far").alias("next")))
+    return reached.join(times, ["key", "t"]).select("key", "t", "id")
 
 
 def _uncovered(t: Column, last: Column, gap_us: int, strict: bool) -> Column:
     return (t - last > gap_us) if strict else (t - last >= gap_us)
 
 
-def _fold(times: DataFrame, gap_us: int, strict: bool) -> DataFrame:
-    rows = times.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("e"))
-
-    def step(chain: Column, e: Column) -> Column:
-        last = F.element_at(chain, -1)["t"]
-        return F.when(_uncovered(e["t"], last, gap_us, strict), F.array_append(chain, e)
-                      ).otherwise(chain)
-
-    chain = F.aggregate(F.expr("slice(e, 2, size(e))"), F.slice("e", 1, 1), step)
-    return rows.select("key", F.explode(chain).alias("a")).select("key", "a.t", "a.id")
-
-
 def _successors(times: DataFrame, gap_us: int, strict: bool) -> DataFrame:
     """(key, t, next): first event of the key that an anchor at t does not cover."""
     width = max(gap_us // SLICES_PER_GAP, 1)
@@ -78,18 +62,6 @@ def _successors(times: DataFrame, gap_us: int, strict: bool) -> DataFrame:
         "key", F.col("_from").alias("t"), F.coalesce("_near", "_later").alias("next"))
 
 
-def _double(times: DataFrame, gap_us: int, strict: bool) -> DataFrame:
-    jumps = materialize(_successors(times, gap_us, strict).filter(F.col("next").isNotNull()))
-    reached = materialize(times.groupBy("key").agg(F.min("t").alias("t")))
-    while not jumps.isEmpty():
-        ahead = reached.join(jumps, ["key", "t"]).select("key", F.col("next").alias("t"))
-        reached = materialize(reached.unionByName(ahead).distinct())
-        second = jumps.select("key", F.col("t").alias("next"), F.col("next").alias("_far"))
-        jumps = materialize(jumps.join(second, ["key", "next"]).select(
-            "key", "t", F.col("_far").alias("next")))
-    return reached.join(times, ["key", "t"]).select("key", "t", "id")
-
-
 def covered_events(events: DataFrame, chain: DataFrame, gap_us: int, strict: bool) -> DataFrame:
     """Events with the anchor that covers them (``_a``, ``_aid``), null where none does.
 

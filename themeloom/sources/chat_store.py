@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ("model_metadata", "sessions", "texts", "themes", "search_results", "search_cache")
@@ -95,9 +95,14 @@ def history_label(status: Column, general: Column, top_guess: Column,
         F.concat(general, F.lit(f" ({note}: "), top_guess, F.lit(")")))
 
 
-def session_results(results: DataFrame, session: Column) -> DataFrame:
-    """Search rows of one session in the order they were stored."""
-    return results.filter(F.col("session_id") == session).orderBy("message_index", "rank")
+def session_results(results: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Search rows of the given sessions with ``pos``, their place in the order of storing.
+
+    A session has a few results for each message; they are ranked by themselves.
+    """
+    order = Window.partitionBy("session_id").orderBy("message_index", "rank")
+    return results.join(sessions.select("session_id").distinct(), "session_id", "left_semi"
+                        ).withColumn("pos", F.row_number().over(order))
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
