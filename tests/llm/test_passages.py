@@ -128,5 +128,6 @@ def test_odd_rows(spark):
     assert kept.count() == docs.count() - 1 and 6 not in left
     assert left[8].text == "another beginning and ending" and left[8].n_chars == 28
     assert left[0].text is None and left[None].text == "no id here"
+    assert left[None].n_chars is None and left[3] == docs.filter("doc_id = 3").first()
     empty = odd_documents(spark, empty=True)
     assert op.shared_passages(empty).count() == 0 and op.cut_repeats(empty).count() == 0

@@ -353,7 +353,7 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the passages that a document of lesser id holds too.
 
     The first document keeps a passage.  Documents of which no word is left go; all others stay,
-    with the columns of ``docs`` and, where it counts characters, ``n_chars`` brought up to date.
+    with the columns of ``docs``; where a text was cut, ``n_chars`` counts what is left of it.
     """
     spans = materialize(shared_passages(docs, **options).groupBy("doc_id").agg(
         F.collect_set(F.struct("start_word", "n_words")).alias("spans")))
@@ -364,21 +364,23 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             stays = [True] * len(texts)
+            counts = []
+            if "n_chars" in kept and pa.types.is_integer(batch.schema.field("n_chars").type):
+                counts = batch.column("n_chars").to_pylist()
             for i, spans_ in enumerate(batch.column(listed).to_pylist()):
                 if spans_:
                     raw = without(texts[i].encode(),
                                   [(s["start_word"], s["n_words"]) for s in spans_])
                     texts[i], stays[i] = raw.decode(), bool(raw.split())
-            columns = [pa.array(texts, batch.schema.field("text").type) if c == "text"
+                    if counts and counts[i] is not None:
+                        counts[i] = len(texts[i])
+            new = {"text": texts, "n_chars": counts} if counts else {"text": texts}
+            columns = [pa.array(new[c], batch.schema.field(c).type) if c in new
                        else batch.column(c) for c in kept]
             whole = pa.RecordBatch.from_arrays(columns, names=kept)
             yield whole.filter(pa.array(stays, pa.bool_()))
 
-    out = marked.select(*kept, listed).mapInArrow(cut, docs.schema)
-    if "n_chars" in docs.columns:
-        count = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.coalesce(count, F.col("n_chars")))
-    return out
+    return marked.select(*kept, listed).mapInArrow(cut, docs.schema)
 
 
 @query
