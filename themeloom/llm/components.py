@@ -9,7 +9,8 @@ from themeloom.session import materialize
 
 
 def _sum(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+    digest = F.xxhash64("src", "dst").cast("decimal(38,0)")
+    return edges.agg(F.count(F.lit(1)), F.sum(digest)).first()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 Marks are runs of ``SEED_WORDS`` words whose hash is the least of ``WINDOW`` neighbours; a seed is a
 mark with the next one and their distance.  Equal stretches of ``SEED_WORDS + 2 * WINDOW - 1`` words
 have two marks, so they share a seed.  All occurrences of a seed are joined to its first document
-(the least doc_id), never with each other: a seed in n documents gives n - 1 matches.    The matches of a pair of documents are chained: an anchor follows one that ends before it
-in both, at a cost for the gap, and a Fenwick tree over the places in the other text finds the best
-predecessor.  Chains are aligned word by word, in the gaps and beyond both ends, and what is long
-and alike enough is a passage.  As ends are extended over the text itself, a passage is found whole
-although part of its seeds may have another first document; and as a seed spans two marks, a passage
-put together from two others has a seed of its own.
+(the least doc_id), never with each other: a seed in n documents gives n - 1 matches.  The matches
+of a pair of documents are chained: an anchor follows one that ends before it in both, at a cost for
+the gap, and a Fenwick tree over the places in the other text finds the best predecessor.  Chains
+are aligned word by word, in the gaps and beyond both ends, and what is long and alike enough is a
+passage.  As ends are extended over the text itself, a passage is found whole although part of its
+seeds may have another first document; and as a seed spans two marks, a passage put together from
+two others has a seed of its own.
 
 Words are runs of signs other than white space, A-Z in lower case.  Defined results: null, empty
 and short texts share nothing; rows without a doc_id take no part; rows of equal doc_id are one
@@ -222,8 +223,8 @@ def extend(a: list, b: list, i: int, j: int, way: int) -> tuple[int, int, int]:
             continue
         for s, t in _STEPS:
             u, v = x + way * s, y + way * t
-            if all(0 <= u + way * k < n and 0 <= v + way * k < m and a[u + way * k] == b[v + way * k]
-                   for k in range(3)):
+            if all(0 <= u + w < n and 0 <= v + w < m and a[u + w] == b[v + w]
+                   for w in (0, way, 2 * way)):
                 x, y, points = u, v, points - MISS * max(s, t)
                 break
         else:

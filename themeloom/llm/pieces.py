@@ -69,7 +69,7 @@ def cut(points: np.ndarray, offsets: np.ndarray, lead_space: bool) -> tuple[np.n
         two = np.where(at + 2 < n, points[np.minimum(at + 2, n - 1)], 0)
         two = np.where(edge[np.minimum(at + 2, n)], 0, two)
         short = np.isin(one, [115, 116, 109, 100])  # s t m d
-        pair = (one == 114) & (two == 101) | (one == 118) & (two == 101) | (one == 108) & (two == 108)
+        pair = np.isin(one, [114, 118]) & (two == 101) | (one == 108) & (two == 108)  # re ve ll
         for found, size in ((at[short], 2), (at[pair & ~short], 3)):
             start[found + 1] = False
             after = found + size

@@ -30,10 +30,6 @@ class Words(NamedTuple):
     first: np.ndarray
     offsets: np.ndarray
 
-    @property
-    def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows, and row offsets (n + 1); null rows are empty."""
