@@ -85,6 +85,35 @@ def test_fuzzy_passage():
         (7, 90, 0, 91, 87)]
 
 
+@pytest.mark.parametrize("size, every, least", [(60, 20, 0.98), (60, 12, 0.9), (60, 10, 0.88),
+                                                (100, 12, 0.98), (100, 10, 0.96)])
+def test_planted_fuzzy_passages(spark, size, every, least):
+    """Pairs of documents that share a passage with a word replaced every few words."""
+    draw = random.Random(size + every)
+    text = lambda n: [f"w{draw.randrange(10 ** 6)}" for _ in range(n)]
+    rows = []
+    for i in range(200):
+        piece = text(size)
+        for own in (piece, [f"new{draw.randrange(10 ** 6)}" if j % every == every // 2 else w
+                            for j, w in enumerate(piece)]):
+            rows.append((len(rows), " ".join(text(40) + own + text(40))))
+    found = op.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.other_id == r.doc_id - 1 and r.doc_id % 2 for r in found)
+    assert len({r.doc_id for r in found}) >= least * 200
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=23, max_size=48), st.data())
+def test_may_extend_loses_none(a, data):
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, 9))):
+        i = data.draw(st.integers(0, len(b) - 1))
+        b[i:i + data.draw(st.integers(0, 1))] = [data.draw(st.integers(0, 9))]
+    b = b[:op.AROUND]
+    x, y = (np.array(v, dtype="<u2").tobytes() for v in (a, b))
+    assert op.may_extend(x, y, 23) or op.extend(a, b, 0, 0, 1)[0] < 23
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=9,
                 unique=True))

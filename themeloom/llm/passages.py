@@ -1,14 +1,20 @@
 """Passages that documents share, by seeds, collinear chains and alignment.
 
-Marks are runs of ``SEED_WORDS`` words whose hash is the least of ``WINDOW`` neighbours; a seed is a
-mark with the next one and their distance.  Equal stretches of ``SEED_WORDS + 2 * WINDOW - 1`` words
-have two marks, so they share a seed.  All occurrences of a seed are joined to its first document
-(the least doc_id), never with each other: a seed in n documents gives n - 1 matches.  The matches
+Marks are runs of ``SEED_WORDS`` words whose hash is the least of ``WINDOW`` neighbours; seeds are
+all marks, and each mark with the next one and their distance.  Equal stretches of
+``SEED_WORDS + WINDOW - 1`` words share a mark, so fuzzy passages need no longer ones; equal
+stretches of ``SEED_WORDS + 2 * WINDOW - 1`` words share a pair of marks.  All occurrences of a seed
+are joined to its first document (the least doc_id), never with each other: a seed in n documents
+gives n - 1 matches.  Seeds are not written: texts are scanned once to find which are in several
+documents, and again for the places of these; a filter of at most ``MOST_BITS`` bits leaves the
+others out before the shuffle (a crowded filter lets more through and loses none).  Pairs of
+documents with one match alone, mostly a common phrase, are looked at by the words around it before
+their texts are joined; they go only if no alignment could make the match a passage.  The matches
 of a pair of documents are chained: an anchor follows one that ends before it in both, at a cost for
 the gap, and a Fenwick tree over the places in the other text finds the best predecessor.  Chains
 are aligned word by word, in the gaps and beyond both ends, and what is long and alike enough is a
 passage.  As ends are extended over the text itself, a passage is found whole although part of its
-seeds may have another first document; and as a seed spans two marks, a passage put together from
+seeds may have another first document; and as a pair spans two marks, a passage put together from
 two others has a seed of its own.
 
 Words are runs of signs other than white space, A-Z in lower case.  Defined results: null, empty
@@ -41,8 +47,14 @@ GAP_COST = 0.1
 MOST_GAP = 48
 # Points that an extension may fall behind its best before it ends; a mismatch costs MISS.
 DROP, MISS = 12, 2
+# Words next to a lone match that may have to agree, and words of the other text they can lie in.
+NEAREST = 20
+AROUND = 48
 # Of ids; bounds the list by which texts are left out before the shuffle.
 BUCKETS = 1 << 20
+# Of the filter of seeds in several documents.
+MOST_BITS = 1 << 26
+BITS_PER_KEY = 8
 
 
 def minimizers(hashes: np.ndarray, first: np.ndarray, k: int = SEED_WORDS,
@@ -82,8 +94,12 @@ def minimizers(hashes: np.ndarray, first: np.ndarray, k: int = SEED_WORDS,
     return place, seeds[place]
 
 
-def seeds_of(docs: DataFrame) -> DataFrame:
-    """(seed, doc_id, pos) of all documents with an id."""
+def seeds_of(docs: DataFrame, once: bool = False, seen: np.ndarray | None = None) -> DataFrame:
+    """(seed, doc_id, pos) of all documents with an id: marks, and pairs of marks.
+
+    ``once``: each seed of a document at its first place only.  ``seen``: only seeds whose bit is
+    set in this table.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -91,9 +107,21 @@ def seeds_of(docs: DataFrame) -> DataFrame:
                 place, mark = minimizers(word_hashes(found), found.first)
                 row = np.searchsorted(found.first, place, side="right") - 1
                 apart = (place[1:] - place[:-1]).astype(np.uint64)
-                seed = mix(mark[:-1] ^ mix(mark[1:] + apart))
+                pair = mix(mark[:-1] ^ mix(mark[1:] + apart))
                 paired = row[1:] == row[:-1]
-                seed, place, row = seed[paired], place[:-1][paired], row[:-1][paired]
+                seed = np.concatenate([mark, pair[paired]])
+                place = np.concatenate([place, place[:-1][paired]])
+                row = np.concatenate([row, row[:-1][paired]])
+                keep = np.arange(len(seed))
+                if seen is not None:
+                    keep = np.flatnonzero(_has(seen, seed))
+                elif once and len(seed):
+                    keep = np.lexsort((place, seed, row))
+                    new = np.ones(len(keep), dtype=bool)
+                    new[1:] = ((seed[keep[1:]] != seed[keep[:-1]])
+                               | (row[keep[1:]] != row[keep[:-1]]))
+                    keep = keep[new]
+                seed, place, row = seed[keep], place[keep], row[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seed.view(np.int64)), part.column("doc_id").take(pa.array(row)),
                      pa.array((place - found.first[row]).astype(np.int32))],
@@ -103,15 +131,131 @@ def seeds_of(docs: DataFrame) -> DataFrame:
         scan, "seed long, doc_id long, pos int")
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def _bits(seed: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each seed in a table of ``size`` words."""
+    at = mix(seed) >> np.uint64(64 - (size.bit_length() + 5))
+    return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+
+def _has(table: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    word, bit = _bits(seed, len(table))
+    return (table[word] & bit) != 0
+
+
+def filter_of(seeds: DataFrame) -> np.ndarray:
+    """Table of bits of all seeds, set by tasks and joined word by word."""
+    n, bits = seeds.count(), 1 << 12
+    while bits < MOST_BITS and bits < BITS_PER_KEY * n:
+        bits *= 2
+    size = bits // 64
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, dtype=np.uint64)
+        for batch in batches:
+            word, bit = _bits(batch.column("seed").to_numpy().view(np.uint64), size)
+            np.bitwise_or.at(table, word, bit)
+        at = np.flatnonzero(table)
+        for k in range(0, len(at), 1 << 16):
+            own = at[k:k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), pa.array(table[own].view(np.int64))], names=["word", "bits"])
+
+    got = seeds.select("seed").mapInArrow(scan, "word long, bits long").groupBy("word").agg(
+        F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size, dtype=np.uint64)
+    table[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def _keys(doc_id: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return mix(doc_id.astype(np.int64).view(np.uint64) ^ mix(pos.astype(np.uint64)))
+
+
+def surroundings(docs: DataFrame, seen: np.ndarray) -> DataFrame:
+    """(doc_id, pos, before, after): words around marks whose place has its bit in ``seen``, as
+    16-bit hashes, from the mark outwards."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = words(part.column("text"))
+                hashes = word_hashes(found)
+                place, _ = minimizers(hashes, found.first)
+                row = np.searchsorted(found.first, place, side="right") - 1
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+                keep = np.flatnonzero(_has(seen, _keys(ids, place - found.first[row])))
+                place, row = place[keep], row[keep]
+                short = (hashes >> np.uint64(48)).astype("<u2")
+                before, after = [], []
+                for i, lo, hi in zip(place.tolist(), found.first[row].tolist(),
+                                     found.first[row + 1].tolist(), strict=True):
+                    before.append(short[max(lo, i - AROUND):i][::-1].tobytes())
+                    after.append(short[i + SEED_WORDS:min(hi, i + SEED_WORDS + AROUND)].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[keep]), pa.array((place - found.first[row]).astype(np.int32)),
+                     pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                    names=["doc_id", "pos", "before", "after"])
+
+    return keyed_texts(docs).filter("doc_id is not null").mapInArrow(
+        scan, "doc_id long, pos int, before binary, after binary")
+
+
+def may_extend(a: bytes, b: bytes, least: int) -> bool:
+    """Whether ``extend`` can go on ``least`` words in a, by the nearest words of both.
+
+    It stops when its points, equal words less MISS for each word passed over, fall under -DROP; so
+    of the first c words of a at least (MISS * c - DROP) / (MISS + 1) agree, in order, with some of
+    b, and it is no further in b than these and the words passed over.
+    """
+    if len(a) < 2 * least:
+        return False
+    c = min(least, NEAREST)
+    need = (MISS * c - DROP) / (MISS + 1)
+    x, y = np.frombuffer(a, "<u2")[:c].tolist(), np.frombuffer(b, "<u2").tolist()
+    return sum(w in y for w in x) >= need and _common(x, y) >= need
+
+
+def promising(docs: DataFrame, lone: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, other_id) of rows (doc_id, other_id, pos, other_pos) whose match may be part of a
+    passage; rows are the only match of their pair."""
+    least = min(-(-(least_words - SEED_WORDS) // 2), AROUND)  # on one side at least
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _keys(batch.column("doc_id").to_numpy(), batch.column("pos").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["seed"])
+
+    places = lone.select("doc_id", "pos").union(lone.select("other_id", "other_pos")).distinct()
+    around = materialize(surroundings(docs, filter_of(materialize(
+        places.mapInArrow(key, "seed long")))))
+    other = around.select(*[F.col(c).alias(f"other_{c}") for c in ("pos", "before", "after")],
+                          F.col("doc_id").alias("other_id"))
+    both = lone.join(around, ["doc_id", "pos"]).join(other, ["other_id", "other_pos"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, c, d = (batch.column(x).to_pylist()
+                          for x in ("before", "other_before", "after", "other_after"))
+            may = [may_extend(a[i], b[i], least) or may_extend(c[i], d[i], least)
+                   for i in range(len(a))]
+            yield batch.select(["doc_id", "other_id"]).filter(pa.array(may, pa.bool_()))
+
+    return both.mapInArrow(check, "doc_id long, other_id long").distinct()
+
+
+def anchors(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, other_id, anchors): places of common seeds, for a document and a first one."""
-    seeds = materialize(seeds_of(docs))
-    first = seeds.groupBy("seed").agg(
-        F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last"))
-    first = first.filter("first.doc_id < last").select(
-        "seed", F.col("first.doc_id").alias("other_id"), F.col("first.pos").alias("other_pos"))
-    return seeds.join(first, "seed").filter("doc_id <> other_id").groupBy(
-        "doc_id", "other_id").agg(F.collect_list(F.struct("pos", "other_pos")).alias("anchors"))
+    first = seeds_of(docs, once=True).groupBy("seed").agg(
+        F.min("doc_id").alias("other_id"), F.min_by("pos", "doc_id").alias("other_pos"),
+        F.max("doc_id").alias("last"))
+    first = materialize(first.filter("other_id < last").drop("last"))
+    seeds = seeds_of(docs, seen=filter_of(first))
+    pairs = materialize(seeds.join(first, "seed").filter("doc_id <> other_id").groupBy(
+        "doc_id", "other_id").agg(F.collect_set(F.struct("pos", "other_pos")).alias("anchors")))
+    one = pairs.filter(F.size("anchors") == 1)
+    lone = one.select("doc_id", "other_id", F.col("anchors")[0]["pos"].alias("pos"),
+                      F.col("anchors")[0]["other_pos"].alias("other_pos"))
+    kept = one.join(promising(docs, lone, least_words), ["doc_id", "other_id"], "left_semi")
+    return pairs.filter(F.size("anchors") > 1).unionByName(kept)
 
 
 class Segment(NamedTuple):
@@ -290,7 +434,7 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS,
     ``other_id`` is a lesser doc_id that holds the passage too, ``similarity`` the share of equal
     words in the longer of both.
     """
-    pairs = materialize(anchors(docs))
+    pairs = materialize(anchors(docs, least_words))
     texts = keyed_texts(docs).filter("doc_id is not null")
     named = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
     # no more than BUCKETS rows: what isn't in a bucket of a named document needn't be shuffled
