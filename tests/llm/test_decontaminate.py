@@ -53,6 +53,43 @@ def test_against_all_windows(spark):
     assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in got} == want
 
 
+def test_texts_shorter_than_an_item(spark):
+    draw = random.Random(6)
+    items = [(i, [f"w{draw.randrange(10 ** 6)}" for _ in range(n)])
+             for i, n in enumerate([1, 3, 4, 5, 6, 16, 17, 25, 40, 59])]
+    docs = []
+    for _, own in items:
+        for a in range(min(len(own), 9)):
+            docs += [own[a:], own[:len(own) - a], own[a // 2:len(own) - a + a // 2]]
+            changed = own[a:]
+            changed[draw.randrange(len(changed))] = "changed"
+            docs.append(changed)
+
+    def whole(text, item):
+        """As ``best``, with a text shorter than the item as one window."""
+        a, b = terms(text), terms(item)
+        if len(a) >= len(b):
+            return best(text, item)
+        k = min(5, len(b))
+        own, mine = bag(b), Counter(tuple(a[i:i + k]) for i in range(len(a) - k + 1))
+        return (own & mine).total() / (own | mine).total()
+
+    docs = [(d, " ".join(own)) for d, own in enumerate(docs)]
+    items = [(i, " ".join(own)) for i, own in items]
+    docs_, items_ = (spark.createDataFrame(docs, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, i): s for d, t in docs for i, x in items if (s := whole(t, x)) >= 0.8}
+    short = {(d, i) for d, i in want if len(terms(docs[d][1])) < len(terms(items[i][1]))}
+    assert len(short) > 20
+    got = op.contaminated(docs_, items_).collect()
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in got} == want
+    assert all(r.n_words == len(terms(docs[r.doc_id][1])) for r in got
+               if (r.doc_id, r.item_id) in short)
+    gone = {d for d, _ in want}
+    assert {r.doc_id for r in op.keep_clean(docs_, items_).collect()} == {
+        d for d, _ in docs} - gone
+
+
 def test_query_finds_whole_items(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()

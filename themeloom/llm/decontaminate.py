@@ -1,16 +1,18 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Every benchmark item is a bag of five-word shingles with repeats as weights, and has a SimHash
-fingerprint.  A document is looked at in windows of as many words as an item has; a window's
-fingerprint is looked up in an index of the items' fingerprints of this size, which is split into
-``BLOCKS`` blocks of bits: fingerprints within ``RADIUS`` bits differ by at most ``NEAR`` bits in at
-least one block, so listing each item under all block values that near finds every one of them.
-Candidates are then verified by the exact weighted similarity of the two bags: the sum of the lesser
-weights over the sum of the greater.
-
-Only windows that can reach the similarity get a fingerprint: two bags of n shingles that reach it
-share at least 2 s n / (1 + s) of them, and the number of a window's shingles that occur in items
-of its size, counted with a filter of bits that has no false negatives, is no less than that.
+fingerprint.  A document is looked at in windows of as many words as an item has; one with fewer
+words than the item, but enough to reach the similarity, is one window.  A window's fingerprint is
+looked up in an index of the items' fingerprints of this size, which is split into ``BLOCKS`` blocks
+of bits: fingerprints within ``RADIUS`` bits differ by at most ``NEAR`` bits in at least one block,
+so listing each item under all block values that near finds every one of them.  Candidates are then
+verified by the exact weighted similarity of the two bags: the sum of the lesser weights over the
+sum of the greater.
+
+Only windows that can reach the similarity get a fingerprint: two bags of n and m shingles that
+reach it share at least s (n + m) / (1 + s) of them, and the number of a window's shingles that
+occur in items of its size, counted with a filter of bits that has no false negatives, is no less
+than that.
 
 The filter has at most ``MOST_BITS`` bits whatever the benchmark's size; a crowded filter lets
 more windows through and loses none.  Items, windows and candidates are joined as tables.
@@ -143,21 +145,29 @@ def filter_of(items: DataFrame) -> Filter:
                   got.bits.to_numpy().astype(np.int64).view(np.uint64))
 
 
-def least_hits(n: int, similarity: float) -> int:
-    """Shingles that two bags of n have in common at least if they are that similar."""
-    return int(np.ceil(2 * similarity * n / (1 + similarity) - 1e-9))
+def least_hits(n: int, similarity: float, m: int | None = None) -> int:
+    """Shingles that bags of n and m (or n too) have in common at least if they are that similar."""
+    both = n + (n if m is None else m)
+    return int(np.ceil(similarity * both / (1 + similarity) - 1e-9))
 
 
 def promising(hashes: np.ndarray, first: np.ndarray, seen: Filter, similarity: float) -> np.ndarray:
-    """Rows where a stretch as long as the largest window has the hits that the smallest needs."""
+    """Rows where a stretch as long as the largest window has the hits that the smallest needs.
+
+    A row shorter than the largest window may be a window by itself, which needs fewer.
+    """
     n = len(hashes)
+    length = np.repeat(np.diff(first), np.diff(first))
     found = np.zeros(n + 1, dtype=np.int64)
     for k in {min(SHINGLE, s) for s in seen.sizes}:
         counts = [s - k + 1 for s in seen.sizes if min(SHINGLE, s) == k]
         own, inside = runs(hashes, first, k)
         total = np.concatenate([[0], np.cumsum(inside & seen.has(own))])
         end = np.minimum(np.arange(n) + max(counts), n)
-        found[1:] |= total[end] - total[:-1] >= least_hits(min(counts), similarity)
+        least = min(counts)
+        need = np.where(length < max(seen.sizes), int(np.ceil(similarity * least - 1e-9)),
+                        least_hits(least, similarity))
+        found[1:] |= total[end] - total[:-1] >= need
     found = np.cumsum(found)
     return np.flatnonzero(found[first[1:]] > found[first[:-1]])
 
@@ -168,9 +178,12 @@ def windows_of(hashes: np.ndarray, seen: Filter, similarity: float):
     whole = np.array([0, n])
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in seen.sizes:
-        if size > n:
-            break
         k = min(SHINGLE, size)
+        m = size - k + 1  # shingles of a window
+        if size > n:
+            if n < k or n - k + 1 < similarity * m - 1e-9:
+                break
+            m = n - k + 1
         if k not in kept:
             own, inside = runs(hashes, whole, k)
             own = own[inside]
@@ -178,8 +191,7 @@ def windows_of(hashes: np.ndarray, seen: Filter, similarity: float):
         own, any_ = kept[k]
         if not any_.any():
             continue
-        m = size - k + 1  # shingles of a window
-        need = least_hits(m, similarity)
+        need = least_hits(size - k + 1, similarity, m)
         hits = any_.copy()
         hits[any_] = seen.has(sized(own[any_], size))
         total = np.concatenate([[0], np.cumsum(hits)])
@@ -232,7 +244,10 @@ def item_index(items: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, start, size, hamming, similarity) of all windows that match an item."""
+    """(doc_id, item_id, start, size, hamming, similarity) of all windows that match an item.
+
+    ``size`` counts the words of the window.
+    """
     items = materialize(item_shingles(items))
     seen = filter_of(items)
     found = materialize(candidate_windows(docs, seen, similarity))
@@ -250,6 +265,8 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     pairs = near.select("doc_id", "item_id", "start", "size", "hamming", "shingles").join(
         items.groupBy("item_id", "size").agg(F.collect_set("shingles").alias("owns")),
         ["item_id", "size"])
+    pairs = pairs.withColumn("size", (F.size("shingles") + F.least(F.lit(SHINGLE), F.col("size"))
+                                      - 1).cast("int"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
