@@ -11,6 +11,7 @@ from themeloom.llm import (  # noqa: F401
     simhash_dedup,
     token_count,
     transport_stream,
+    whitening,
 )
 from themeloom.llm.tables import ORACLES, QUERIES
 
