@@ -15,7 +15,8 @@ work ends when a start finds none, or when there are as many vectors as dimensio
 
 Defined results: rows are dropped if the vector is null or holds a null, a NaN, an infinity or an
 entry of 2^56 or more, which has no place on the grid; vectors shorter than the longest count as
-ending in zeros; a component without any spread (of a rank below the number wanted) has no row, so
+ending in zeros; a component without spread (below 1e-7 of the length of X, as of a rank below the
+number wanted) has no row, so
 one distinct vector, vectors without entries and an empty table give an empty result; equal
 eigenvalues have some orthonormal components of their space; rows without an id or with a repeated
 one have results of their own; a ``deviation`` beyond 64 bits is null.  Only the id and the vector
@@ -38,8 +39,9 @@ from themeloom.session import materialize
 SCALE, OFFSET = 64, 1_000_000
 COMPONENTS = 16
 SEED = 42
-# Of the length of all of X: what is below it is rounding.
-TINY = 1e-14
+# Of the length of all of X: residuals below TINY are rounding, and so are lengths of left vectors
+# below FLAT, as those come from squares.
+TINY, FLAT = 1e-14, 1e-7
 # Rows of the fit list that are stored side by side, and rows of results made at once.
 BLOCK = 4096
 LARGEST = 2.0 ** 56
@@ -143,24 +145,25 @@ def _search(product: Product, width: int, wanted: int, length: float, draw: np.r
             g = np.array(left) @ p
             y, p, square = y - np.array(left).T @ g, p - np.array(back).T @ g, square - g @ g
         alpha = np.sqrt(max(square, 0.0))
-        small = alpha <= TINY * length
+        small = alpha <= FLAT * length
         right.append(v)
         left.append(np.zeros(width) if small else y / alpha)
         back.append(np.zeros(width) if small else p / alpha)
         diagonal.append(0.0 if small else alpha)
         r = _clear(back[-1] - diagonal[-1] * v, np.array(right))
         beta = np.linalg.norm(r)
+        over = small or beta <= TINY * length * max(1.0, length / alpha)
         whole = len(right) == width
         p, s, q = np.linalg.svd(np.diag(diagonal) + np.diag(above, 1))
-        residual = np.zeros(len(s)) if whole or beta <= TINY * length else beta * np.abs(p[-1])
+        residual = np.zeros(len(s)) if whole or over else beta * np.abs(p[-1])
         both = np.concatenate([values, s])
         best = np.argsort(-both, kind="stable")[:wanted]
         needed = {0, *(best[best >= known] - known).tolist()}
         if all(residual[i] <= TINY * length for i in needed):
             found = q @ np.array(right[known:])
             all_vectors = np.concatenate([vectors.reshape(-1, width), found])
-            keep = best[both[best] > 1e4 * TINY * length]
-            done = whole or s[0] <= 1e4 * TINY * length or bool((best < known).all())
+            keep = best[both[best] > FLAT * length]
+            done = whole or s[0] <= FLAT * length or bool((best < known).all())
             return both[keep], all_vectors[keep], done
         above.append(beta)
 
