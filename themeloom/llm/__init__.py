@@ -9,6 +9,7 @@ from themeloom.llm import (  # noqa: F401
     quality,
     sharding,
     simhash_dedup,
+    spelling,
     token_count,
     transport_stream,
     whitening,

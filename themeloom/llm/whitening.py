@@ -16,11 +16,10 @@ work ends when a start finds none, or when there are as many vectors as dimensio
 Defined results: rows are dropped if the vector is null or holds a null, a NaN, an infinity or an
 entry of 2^56 or more, which has no place on the grid; vectors shorter than the longest count as
 ending in zeros; a component without spread (below 1e-7 of the length of X, as of a rank below the
-number wanted) has no row, so
-one distinct vector, vectors without entries and an empty table give an empty result; equal
-eigenvalues have some orthonormal components of their space; rows without an id or with a repeated
-one have results of their own; a ``deviation`` beyond 64 bits is null.  Only the id and the vector
-are read.  The driver holds three arrays of the width of a vector for each step.
+number wanted) has no row, so one distinct vector, vectors without entries and an empty table give
+an empty result; equal eigenvalues have some orthonormal components of their space; rows without an
+id or with a repeated one have results of their own; a ``deviation`` beyond 64 bits is null.  Only
+the id and the vector are read, texts of any length are not.  The driver holds three arrays of the width of a vector for each step.
 """
 
 from __future__ import annotations
