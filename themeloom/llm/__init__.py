@@ -6,6 +6,7 @@ from themeloom.llm import (  # noqa: F401
     language_id,
     packing,
     passages,
+    personal,
     quality,
     sharding,
     simhash_dedup,
