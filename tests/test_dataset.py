@@ -43,13 +43,13 @@ def test_taxonomy_is_consistent(spark):
 
 def test_cleaning(spark):
     cards = card_rows(spark, [
-        ("genetik", "gen", "kalıtım birimi"), ("genetik", "gen", "kalıtım birimi"),
+        ("genetik", "alel", "aynı yerin seçeneği"), ("genetik", "alel", "aynı yerin seçeneği"),
         ("genetik", "x", "aynı metin"), ("futbol", "x", "aynı metin"), ("genetik", "boş", ""),
         ("anatomi", "kemik", "sert doku")])
     records = dataset.to_records(cards, Taxonomy(), "s", ["pos"])
     kept = dataset.dedup_conflicts(records, "pos").collect()
     assert [(r.pos, r.text, r.general, r.group) for r in kept] == [
-        (0, "gen kalıtım birimi", "Biyoloji", "gen")]
+        (0, "alel aynı yerin seçeneği", "Biyoloji", "alel")]
     counts = dataset.cleaning_counts(cards, Taxonomy(), "pos").first().asDict()
     assert counts == {"raw_rows": 6, "excluded_ambiguous_rows": 1,
                       "duplicates_or_conflicts_removed": 3, "rows_after_cleaning": 1}

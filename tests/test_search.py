@@ -127,3 +127,38 @@ def test_store(spark, tmp_path):
                                    "session_id string, message_index int, theme_label string")
     got = chat_store.session_history(texts.filter("session_id = 's1'"), themes)
     assert {(r.message_index, r.theme_label) for r in got.collect()} == {(1, "Spor"), (2, None)}
+
+
+def test_searches_pause_together_and_hits_have_the_earlier_answer(spark):
+    """Two queries of a service meet one failure; the log goes on after the pause."""
+    def page(title):
+        return json.dumps({"query": {"pages": [
+            {"title": title, "fullurl": "https://tr.wikipedia.org/wiki/K"}]}})
+
+    queries = spark.sql("""SELECT *, 'chat' AS service FROM VALUES
+      (1, 'Rüzgâr türbini', timestamp'2024-01-01 10:00:00'),
+      (2, 'gelgit  enerjisi', timestamp'2024-01-01 10:00:30'),
+      (3, 'Gelgit enerjisi!', timestamp'2024-01-01 10:02:00'),
+      (4, 'gelgit enerjisi', timestamp'2024-01-02 10:02:00'),
+      (5, 'rüzgâr türbini', timestamp'2024-01-02 10:02:00'),
+      (6, 'gelgit enerjisi', timestamp'2024-01-02 10:02:01'),
+      (7, 'hiç sorulmamış', timestamp'2024-01-03') AS t(query_id, query, ts)""")
+    answers = spark.createDataFrame(
+        [(1, "wikipedia", 1, None, "offline"), (1, "duckduckgo", 2, None, "offline"),
+         (2, "wikipedia", 1, page("never asked"), "payload"),
+         (3, "wikipedia", 1, None, "error"), (3, "duckduckgo", 2, json.dumps(DDG), "payload"),
+         (4, "wikipedia", 1, page("newer"), "payload"), (5, "wikipedia", 1, page("wind"), "payload"),
+         (6, "wikipedia", 1, json.dumps({"query": {"pages": []}}), "payload")],
+        "query_id int, provider string, priority int, payload string, outcome string")
+    rows = chat.ingest_searches(queries, answers, "service").orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.status, r.asked, r.from_cache, r["rank"]) for r in rows] == [
+        (1, "offline", True, 0, None), (2, "offline", False, 0, None),
+        *[(3, "ok", True, 0, k) for k in (1, 2, 3)], *[(4, "ok", False, 1, k) for k in (1, 2, 3)],
+        (5, "ok", True, 0, 1), (6, "empty", True, 0, None), (7, "error", True, 0, None)]
+    by_id = {r.query_id: r for r in rows}
+    assert by_id[4].source_id == 3 and by_id[4].cached_us == by_id[3].cached_us
+    assert by_id[4].source == "duckduckgo" and by_id[5].title == "wind"
+    alone = chat.ingest_searches(queries, answers).filter("query_id = 2").first()
+    assert alone.title == "never asked" and alone.asked
+    nothing = chat.ingest_searches(queries.limit(0), answers.limit(0))
+    assert nothing.count() == 0

@@ -10,6 +10,8 @@ from themeloom import constants as K
 from themeloom.catalog.common import norm, query, rr, table, texts
 from themeloom.functions import text
 from themeloom.operators import replay
+from themeloom.operators import search_replay as search_replays
+from themeloom.plans import chat
 from themeloom.session import materialize, run_folder
 from themeloom.sources import chat_store, provenance, search_payloads
 from themeloom.streaming.cache import stream_cache
@@ -201,6 +203,79 @@ def cooldown_suppress(spark, sf):
                                  F.col("event_type") == "error", 6 * 3600)
 
 
+_SEARCHES = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, user_id % 20 AS service,
+    CASE event_type WHEN 'error' THEN 'offline' WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'error'
+      ELSE 'empty' END AS met FROM events),
+  o AS (SELECT *, row_number() OVER (PARTITION BY SCOPE ORDER BY ts, event_id) AS k FROM e),
+  r AS (SELECT SCOPE AS scope, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::BIGINT AS user_id,
+      ''::VARCHAR AS state, ''::VARCHAR AS met, NULL::BIGINT AS source_id, NULL::BIGINT AS cached_us,
+      MAP {}::MAP(BIGINT, STRUCT(put TIMESTAMP, id BIGINT)) AS cache,
+      TIMESTAMP '1970-01-01' AS until FROM (SELECT DISTINCT SCOPE FROM e)
+    UNION ALL
+    SELECT scope, k, event_id, user_id, state, met, source.id, epoch_us(source.put),
+      CASE WHEN state = 'made' AND met = 'ok'
+        THEN map_concat(cache, MAP {user_id: {'put': ts, 'id': event_id}}) ELSE cache END,
+      CASE WHEN state = 'made' AND met = 'offline' THEN ts + PAUSE ELSE until END
+    FROM (SELECT *, CASE WHEN state = 'hit' THEN had
+        WHEN state = 'made' AND met = 'ok' THEN {'put': ts, 'id': event_id} END AS source
+      FROM (SELECT *, CASE WHEN ts - had.put <= INTERVAL 24 HOURS THEN 'hit' WHEN ts < until
+          THEN 'suppressed' ELSE 'made' END AS state
+        FROM (SELECT r.scope, o.k, o.event_id, o.user_id, o.met, o.ts, r.cache, r.until,
+            map_extract(r.cache, o.user_id)[1] AS had
+          FROM r JOIN o ON o.SCOPE = r.scope AND o.k = r.k + 1)))),
+  d AS (SELECT event_id, user_id, state, CASE state WHEN 'hit' THEN 'ok' WHEN 'suppressed'
+    THEN 'offline' ELSE met END AS status, source_id, cached_us FROM r WHERE k > 0)"""
+_BY_USER = _SEARCHES.replace("SCOPE", "user_id").replace("PAUSE", "INTERVAL 6 HOURS")
+_BY_SERVICE = _SEARCHES.replace("SCOPE", "service").replace("PAUSE", "INTERVAL 1 HOURS")
+
+
+def _searches(spark, sf):
+    e = F.col("event_type")
+    met = (F.when(e == "error", K.STATUS_OFFLINE).when(e == "purchase", K.STATUS_OK)
+           .when(e == "click", K.STATUS_ERROR).otherwise(K.STATUS_EMPTY))
+    return table(spark, sf, "events").select(
+        "event_id", "user_id", "ts", met.alias("met"), (F.col("user_id") % 20).alias("service"))
+
+
+@query(f"{_BY_USER} SELECT * FROM d")
+def search_replay(spark, sf):
+    """Attempts under the result cache and the pause after a failure, both kept by user."""
+    return search_replays.replay_searches(_searches(spark, sf), "user_id", "ts", "event_id", "met",
+                                          cooldown_seconds=6 * 3600)
+
+
+@query(f"{_BY_SERVICE} SELECT * FROM d")
+def search_replay_services(spark, sf):
+    """The same with answers kept by user and pauses that hold for all users of a service."""
+    return search_replays.replay_searches(_searches(spark, sf), "user_id", "ts", "event_id", "met",
+                                          "service", cooldown_seconds=3600)
+
+
+@query(f"""{_BY_USER} SELECT event_id AS query_id, status, rank,
+    'P' || source_id || '-' || rank AS title, state = 'made' AS asked,
+    (state = 'hit')::INT AS from_cache, cached_us
+  FROM d LEFT JOIN (SELECT unnest([1, 2, 3]) AS rank) ON rank <= 1 + source_id % 3""")
+def search_ingest(spark, sf):
+    """Stored result rows of a log of searches: payloads parsed, hits with the earlier answer."""
+    asked = _searches(spark, sf)
+    listed = F.transform(F.sequence(F.lit(1).cast("long"), F.col("event_id") % 3 + 1), lambda k: F.struct(
+        F.concat_ws("-", F.concat(F.lit("P"), F.col("event_id").cast("string")),
+                    k.cast("string")).alias("title"), k.alias("index"),
+        F.lit("https://tr.wikipedia.org/wiki/P").alias("fullurl")))
+    pages = F.when(F.col("met") == K.STATUS_OK, listed).otherwise(F.slice(listed, 1, 0))
+    payload = F.to_json(F.struct(F.struct(pages.alias("pages")).alias("query")))
+    answers = asked.select(
+        F.col("event_id").alias("query_id"), F.lit("wikipedia").alias("provider"),
+        F.lit(1).alias("priority"), payload.alias("payload"),
+        F.when(F.col("met").isin(K.STATUS_OFFLINE, K.STATUS_ERROR), F.col("met")).otherwise(
+            "payload").alias("outcome"))
+    word = F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij")
+    queries = asked.select(F.col("event_id").alias("query_id"), F.concat(F.lit("Ask "), word).alias(
+        "query"), "ts")
+    rows = chat.ingest_searches(queries, answers, cooldown_seconds=6 * 3600)
+    return rows.select("query_id", "status", "rank", "title", "asked", "from_cache", "cached_us")
+
+
 @query("""SELECT user_id, event_type, event_id, value FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
 def cache_upsert(spark, sf):

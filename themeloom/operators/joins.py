@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from themeloom.operators.scans import LEVELS, over_earlier
+
+
 def seeded_order(seed: int, *keys: Column) -> Column:
     """Repeatable pseudo-random order key that any SQL engine can recompute."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
@@ -19,7 +22,7 @@ def running_total(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequenc
 
     ``chunk`` is a column that cuts a key into ordered runs (equal or rising with the order).
     Sums run inside (key, chunk); the totals of earlier chunks come from a table with one row per
-    chunk.  Keys that fit one chunk need nothing from that table, so it stays small enough for
+    chunk, summed in levels where chunks are whole numbers.  Keys that fit one chunk need nothing from that table, so it stays small enough for
     adaptive execution to broadcast unless there really are long keys.
     """
     last = 0 if inclusive else -1
@@ -27,10 +30,10 @@ def running_total(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequenc
              .rowsBetween(Window.unboundedPreceding, last))
     local = df.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     totals = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_chunk_total"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, chunk, F.sum("_chunk_total").over(before).alias("_before")).filter(
-            F.coalesce("_before", F.lit(0)) != 0)
+    # Chunks that aren't numbers can't be grouped in levels; a prefix of a hash has few values.
+    levels = LEVELS if dict(df.dtypes)[chunk] in ("int", "bigint") else 1
+    offsets = over_earlier(totals, keys, chunk, "_chunk_total", "sum", "_before", levels=levels)
+    offsets = offsets.drop("_chunk_total").filter(F.coalesce("_before", F.lit(0)) != 0)
     return (local.join(offsets, [*keys, chunk], "left")
             .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
             .drop("_local", "_before"))

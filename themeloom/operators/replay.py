@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from themeloom import constants as K
+from themeloom.operators.scans import over_earlier
 from themeloom.session import materialize
 
 SLICES_PER_GAP = 64
@@ -23,8 +24,19 @@ def anchors(events: DataFrame, gap_us: int, strict: bool) -> DataFrame:
 
     The next anchor is the first event later than ``t + gap`` (``strict``) or not before it.
     """
-    times = materialize(events.groupBy("key", "t").agg(F.min("id").alias("id")))
-    jumps = materialize(_successors(times, gap_us, strict).filter(F.col("next").isNotNull()))
+    return chain(events.withColumn("reach", F.lit(gap_us + (1 if strict else 0))), gap_us)
+
+
+def chain(events: DataFrame, gap_us: int) -> DataFrame:
+    """(key, t, id) of the chain from events (key, t, id, reach).
+
+    It begins with the first event of a key; the next is the first at ``t + reach`` or later, and of
+    equal times the one of least id.  ``gap_us`` is the usual least reach: slices are parts of it.
+    """
+    first = F.min(F.struct("id", "reach")).alias("_least")
+    times = materialize(events.groupBy("key", "t").agg(first).select("key", "t", "_least.*"))
+    jumps = materialize(_successors(times, max(gap_us // SLICES_PER_GAP, 1)).filter(
+        F.col("next").isNotNull()))
     reached = materialize(times.groupBy("key").agg(F.min("t").alias("t")))
     while not jumps.isEmpty():
         ahead = reached.join(jumps, ["key", "t"]).select("key", F.col("next").alias("t"))
@@ -39,13 +51,11 @@ def _uncovered(t: Column, last: Column, gap_us: int, strict: bool) -> Column:
     return (t - last > gap_us) if strict else (t - last >= gap_us)
 
 
-def _successors(times: DataFrame, gap_us: int, strict: bool) -> DataFrame:
-    """(key, t, next): first event of the key that an anchor at t does not cover."""
-    width = max(gap_us // SLICES_PER_GAP, 1)
-    reach = gap_us + (1 if strict else 0)          # next = first event at or after t + reach
+def _successors(times: DataFrame, width: int) -> DataFrame:
+    """(key, t, next): first event of the key at t + reach or later."""
     marks = times.select("key", F.col("t").alias("_x"), F.col("t").alias("_event"),
                          F.lit(None).cast("long").alias("_from"))
-    probes = times.select("key", (F.col("t") + reach).alias("_x"),
+    probes = times.select("key", (F.col("t") + F.col("reach")).alias("_x"),
                           F.lit(None).cast("long").alias("_event"), F.col("t").alias("_from"))
     both = marks.unionByName(probes).withColumn("_slice", F.floor(F.col("_x") / width))
     # Inside a slice: the nearest event at or after the probe (events sort after equal probes).
@@ -55,10 +65,8 @@ def _successors(times: DataFrame, gap_us: int, strict: bool) -> DataFrame:
         F.col("_from").isNotNull())
     # Otherwise the first event of the next slice that has one.
     firsts = both.groupBy("key", "_slice").agg(F.min("_event").alias("_first"))
-    later = (Window.partitionBy("key").orderBy("_slice")
-             .rowsBetween(1, Window.unboundedFollowing))
-    following = firsts.select("key", "_slice", F.min("_first").over(later).alias("_later"))
-    return near.join(following, ["key", "_slice"]).select(
+    following = over_earlier(firsts, ["key"], "_slice", "_first", "min", "_later", backward=True)
+    return near.join(following.drop("_first"), ["key", "_slice"]).select(
         "key", F.col("_from").alias("t"), F.coalesce("_near", "_later").alias("next"))
 
 
@@ -67,11 +75,10 @@ def covered_events(events: DataFrame, chain: DataFrame, gap_us: int, strict: boo
 
     Anchors are more than a gap apart, so at most two can cover a slice as wide as the gap.
     """
-    slices = chain.select(
-        "key", F.col("t").alias("_a"), F.col("id").alias("_aid"),
-        F.explode(F.array(F.floor(F.col("t") / gap_us), F.floor(F.col("t") / gap_us) + 1))
-        .alias("_slice"))
-    placed = events.withColumn("_slice", F.floor(F.col("t") / gap_us))
+    place = F.floor(F.col("t") / max(gap_us, 1))
+    slices = chain.select("key", F.col("t").alias("_a"), F.col("id").alias("_aid"),
+                          F.explode(F.array(place, place + 1)).alias("_slice"))
+    placed = events.withColumn("_slice", place)
     e, c = placed.alias("e"), slices.alias("c")
     inside = (F.col("e.t") >= F.col("c._a")) & ~_uncovered(
         F.col("e.t"), F.col("c._a"), gap_us, strict)

@@ -12,6 +12,8 @@ from themeloom.functions import phrases, text
 from themeloom.functions.decisions import general_names, split_class
 from themeloom.operators import conversation, keywords, linear, replay
 from themeloom.operators.linear import TopicModel
+from themeloom.operators.search_replay import HIT, MADE, replay_searches
+from themeloom.session import materialize
 from themeloom.sources import search_payloads
 
 SESSION_KEYS = ("conv_id", "session_no")
@@ -70,6 +72,62 @@ def process_messages(model: TopicModel, messages: DataFrame, reset: Column | Non
         "scores", "sub_scores")
 
 
+def ingest_searches(queries: DataFrame, answers: DataFrame, service: str | None = None,
+                    ttl_hours: float = K.CACHE_TTL_HOURS,
+                    cooldown_seconds: float = K.OFFLINE_COOLDOWN_SECONDS,
+                    limit: int = K.MAX_RESULTS) -> DataFrame:
+    """Search rows of every query under the result cache and the pause after a failure.
+
+    ``queries``: query_id, query, ts and the ``service`` column, if pauses hold for all queries of a
+    service.  ``answers`` is what each query meets if it is asked: query_id, provider, priority,
+    payload and outcome ("payload", "offline" or "error"); those of queries that are not asked have
+    no effect.  The cache key is the normalised query.  A hit has the rows of the query that stored
+    them, ``from_cache`` 1, that query as ``source_id`` and its time as ``cached_us``.  A query
+    without results has one row that says why; its rank is null.  ``asked`` says whether a provider
+    was asked.
+    """
+    payloads = answers.filter(F.col("outcome") == "payload").select(
+        F.struct("query_id", "provider").alias("_answer"), "provider", "payload")
+    results = _parsed(payloads, limit)
+    have = results.groupBy("_answer").agg(F.count(F.lit(1)).alias("_n"))
+    outcomes = answers.withColumn("_answer", F.struct("query_id", "provider")).join(
+        have, "_answer", "left").withColumn("status", _outcome())
+    chosen = search_payloads.choose_provider(outcomes, "query_id")
+    keyed = materialize(queries.withColumn("query_key", text.normalize(F.col("query"))).join(
+        chosen, "query_id", "left"))
+    done = materialize(replay_searches(keyed, "query_key", "ts", "query_id", "status", service,
+                                       ttl_hours, cooldown_seconds))
+    found = results.select(F.col("_answer.query_id").alias("source_id"),
+                           F.col("_answer.provider").alias("source"), "rank", "title", "summary",
+                           "url")
+    # An answer's rows are those of its chosen provider.
+    found = found.join(keyed.select(F.col("query_id").alias("source_id"),
+                                    F.col("provider").alias("source")), ["source_id", "source"])
+    asked = queries.select("query_id", "query").join(done.drop("query_key"), "query_id")
+    return asked.join(found, "source_id", "left").select(
+        "query_id", "query", "status", "rank", "title", "summary", "url", "source",
+        (F.col("state") == HIT).cast("int").alias("from_cache"),
+        (F.col("state") == MADE).alias("asked"), "source_id", "cached_us")
+
+
+def _parsed(payloads: DataFrame, limit: int) -> DataFrame:
+    """Ranked results of (_answer, provider, payload), each provider's payloads by its own rules."""
+    wiki = search_payloads.encyclopedia_results(
+        payloads.filter(F.col("provider") == "wikipedia"), "_answer", limit=limit)
+    ddg = search_payloads.answer_results(
+        payloads.filter(F.col("provider") == "duckduckgo"), "_answer", limit=limit)
+    return wiki.unionByName(ddg)
+
+
+def _outcome() -> Column:
+    """Status of one provider's answer, from its outcome, payload and number of results _n."""
+    failed = search_payloads.payload_error(F.col("payload")).isNotNull()
+    return (F.when(F.col("outcome") == "offline", K.STATUS_OFFLINE)
+            .when(F.col("_n") > 0, K.STATUS_OK)
+            .when((F.col("outcome") == "error") | failed, K.STATUS_ERROR)
+            .otherwise(K.STATUS_EMPTY))
+
+
 def ingest_results(queries: DataFrame, answers: DataFrame, ttl_hours: float = K.CACHE_TTL_HOURS,
                    limit: int = K.MAX_RESULTS) -> DataFrame:
     """Search rows of every query: ranked results of the provider that answered, marked by cache.
@@ -82,20 +140,10 @@ def ingest_results(queries: DataFrame, answers: DataFrame, ttl_hours: float = K.
     keyed = queries.withColumn("query_key", text.normalize(F.col("query")))
     payloads = answers.filter(F.col("outcome") == "payload").select(
         F.concat_ws("|", "query_key", "provider").alias("_answer"), "provider", "payload")
-    wiki = search_payloads.encyclopedia_results(
-        payloads.filter(F.col("provider") == "wikipedia"), "_answer", limit=limit)
-    ddg = search_payloads.answer_results(
-        payloads.filter(F.col("provider") == "duckduckgo"), "_answer", limit=limit)
-    results = wiki.unionByName(ddg)
+    results = _parsed(payloads, limit)
     have = results.groupBy("_answer").agg(F.count(F.lit(1)).alias("_n"))
-    failed = search_payloads.payload_error(F.col("payload")).isNotNull()
-    outcomes = (
-        answers.withColumn("_answer", F.concat_ws("|", "query_key", "provider"))
-        .join(have, "_answer", "left")
-        .withColumn("status", F.when(F.col("outcome") == "offline", K.STATUS_OFFLINE)
-                    .when(F.col("_n") > 0, K.STATUS_OK)
-                    .when((F.col("outcome") == "error") | failed, K.STATUS_ERROR)
-                    .otherwise(K.STATUS_EMPTY)))
+    outcomes = answers.withColumn("_answer", F.concat_ws("|", "query_key", "provider")).join(
+        have, "_answer", "left").withColumn("status", _outcome())
     chosen = search_payloads.choose_provider(outcomes, "query_key")
     asked = keyed.join(chosen, "query_key", "left").withColumn(
         "status", F.coalesce("status", F.lit(K.STATUS_ERROR)))
