@@ -17,6 +17,7 @@ from themeloom.operators.features import word_block
 from themeloom.plans import chat
 from themeloom.session import materialize, run_folder
 from themeloom.sources import chat_store
+from themeloom.streaming.running import running_themes
 from themeloom.streaming.scoring import store_batches
 from themeloom.streaming.themes import stream_scores
 
@@ -29,13 +30,18 @@ _CONTENT = (f"length(list_filter(regexp_extract_all({norm('text')}, '[a-zçğı
             f"lambda t: length(t) > 1 AND t NOT IN {in_list(STOPWORDS)})) > 0")
 
 # sg: messages with content, their session and index; a system message starts a new session
-_SEGMENTS = f"""
-  mk AS (SELECT *, role = 'system' AS rs, {_CONTENT} AS ct FROM conversations),
+
+def _segments_sql(source: str = "conversations", opens: str = "role = 'system'") -> str:
+    return f"""
+  mk AS (SELECT *, {opens} AS rs, {_CONTENT} AS ct FROM {source}),
   sn AS (SELECT *, sum(rs::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS session_no
          FROM mk),
   sg AS (SELECT conv_id, turn, text, conv_id * 1000 + turn AS id, session_no,
            row_number() OVER (PARTITION BY conv_id, session_no ORDER BY turn) AS message_index
-         FROM sn WHERE ct AND NOT rs)"""
+         FROM sn WHERE ct AND role <> 'system')"""
+
+
+_SEGMENTS = _segments_sql()
 
 # ds, dj: decayed topic and joint scores; the messages' probabilities are rounded first
 _DECAYED = f"""{_SEGMENTS}, {nb_ctes()}, {nb_scores('sg', 'id')},
@@ -150,6 +156,69 @@ def stream_theme(spark, sf):
     return _theme_columns(_themes(spark.read.parquet(f"{folder}/out").filter("not late").drop("batch_id", "late")))
 
 
+# The last of four deliveries holds a quarter of the turns; those behind another one are late.
+_HELD = "turn % 4 = 1"
+_CLOCK = "(turn * 60 + turn // 3 * 7200)"
+_DELIVERED = f"""
+  dl AS (SELECT *, coalesce({_HELD} AND turn < max(turn) FILTER (WHERE NOT {_HELD}) OVER (
+      PARTITION BY conv_id), false) AS late FROM conversations)"""
+
+
+def _delivered(idle: str) -> str:
+    """The segments of what came in time; ``idle`` says when a pause opens a session."""
+    timely = _segments_sql("pv", f"role = 'system' OR {idle}")
+    return _DECAYED.replace(_SEGMENTS, f"""{_DELIVERED},
+  pv AS (SELECT *, lag({_CLOCK}) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM dl
+         WHERE NOT late),{timely}""")
+
+
+def _score_columns(idle: str) -> str:
+    return f"""WITH {_delivered(idle)} SELECT conv_id, turn, session_no, message_index, late,
+    general, round(s, 9) AS score FROM ds JOIN dl USING (conv_id, turn)
+  UNION ALL SELECT conv_id, turn, NULL, NULL, late, NULL, NULL FROM dl WHERE late"""
+
+
+def _stream_running(spark, sf, idle_seconds):
+    """Raw messages in four deliveries, scored and followed in micro-batches."""
+    turns = table(spark, sf, "conversations").select(
+        "conv_id", "turn", "role", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        F.timestamp_seconds(F.col("turn") * 60 + F.floor(F.col("turn") / 3) * 7200).alias("ts"))
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
+    held = F.col("turn") % 4 == 1
+    delivery = F.when(held, 3).otherwise(F.least(F.floor(F.col("turn") / 2), F.lit(2)))
+    for i in range(4):
+        turns.filter(delivery == i).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{folder}/in/*")
+    model = _model(spark, sf)
+
+    def score(batch):
+        return linear.predict(model, batch, "id", max_chars=None, stopwords=STOPWORDS, other=OTHER,
+                              keep=["conv_id", "turn", "role", "ts"]).withColumn(
+            "reset", F.col("role") == "system")
+
+    run = running_themes(stream, f"{folder}/out", f"{folder}/state", GENERAL, SUBTOPICS, ts="ts",
+                         idle_seconds=idle_seconds, score=score).trigger(availableNow=True).start()
+    run.awaitTermination()
+    done = spark.read.parquet(f"{folder}/out/turns")
+    each = done.select("conv_id", "turn", F.when(~F.col("late"), F.col("session_no")).alias(
+        "session_no"), "message_index", "late", F.explode_outer("scores").alias("s"))
+    return each.select("conv_id", "turn", "session_no", "message_index", "late",
+                       F.col("s.name").alias("general"), F.round("s.score", 9).alias("score"))
+
+
+@query(_score_columns("false"))
+def stream_running_scores(spark, sf):
+    """Running scores of raw messages over several micro-batches, late turns set aside."""
+    return _stream_running(spark, sf, None)
+
+
+@query(_score_columns(f"coalesce({_CLOCK} - prev > 3600, false)"))
+def stream_idle_sessions(spark, sf):
+    """The same where an hour without a message ends a session."""
+    return _stream_running(spark, sf, 3600)
+
+
 # kt: keywords of each message for its best general topic, if that is part of the theme
 _KEYWORDS = f"""{_THEMES},
   tg AS (SELECT id, arg_min(general, {{'a': -p, 'b': general}}) AS top FROM

@@ -15,6 +15,7 @@ from themeloom.plans import chat
 from themeloom.session import materialize, run_folder
 from themeloom.sources import chat_store, provenance, search_payloads
 from themeloom.streaming.cache import stream_cache
+from themeloom.streaming.cooldown import stream_cooldown
 from themeloom.streaming.scoring import store_batches
 
 HOSTS = ("example.com", "example.org")
@@ -189,20 +190,56 @@ def stream_cache_replay(spark, sf):
                        replay.micros(done, "cached_at").alias("cached_us"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, event_type = 'error' AS off,
+_COOLDOWN = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, event_type = 'error' AS off,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
   r AS (SELECT event_id, user_id, k, false AS suppressed, CASE WHEN off THEN ts + INTERVAL 6 HOURS
       ELSE TIMESTAMP '1970-01-01' END AS until FROM e WHERE k = 1
     UNION ALL SELECT e.event_id, e.user_id, e.k, e.ts < r.until, CASE WHEN e.ts >= r.until AND off
       THEN e.ts + INTERVAL 6 HOURS ELSE r.until END
     FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
-  SELECT event_id, user_id, suppressed FROM r""")
+  SELECT event_id, user_id, suppressed FROM r"""
+
+
+@query(_COOLDOWN)
 def cooldown_suppress(spark, sf):
     """Attempts in the six hours after a failed one are not made."""
     return replay.apply_cooldown(table(spark, sf, "events"), "user_id", "ts", "event_id",
                                  F.col("event_type") == "error", 6 * 3600)
 
 
+@query(_COOLDOWN)
+def stream_cooldown_suppress(spark, sf):
+    """The same from a stream in four micro-batches, in event time; a later row closes the log."""
+    events = table(spark, sf, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("event_type") == "error").alias("off"))
+    day = F.unix_date(F.to_date("ts"))
+    bounds = events.agg(F.min(day).alias("a"), F.max(day).alias("b"), F.max("ts").alias("z")).first()
+    days = max((bounds.b - bounds.a + 4) // 4, 1)
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
+    for i in range(4):
+        events.filter(F.floor((day - bounds.a) / days) == i).write.mode("append").parquet(
+            f"{folder}/in/{i}")
+    end = spark.range(1).select(
+        F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"),
+        (F.lit(bounds.z) + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(False).alias("off"))
+    end.write.parquet(f"{folder}/in/4")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{folder}/in/*")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider,
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        cold = stream_cooldown(stream, "user_id", "ts", "event_id", "off", 6 * 3600, "2 days")
+        run = store_batches(cold, f"{folder}/out", f"{folder}/state").trigger(
+            availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "suppressed")
+
+
 _SEARCHES = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, user_id % 20 AS service,
     CASE event_type WHEN 'error' THEN 'offline' WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'error'
       ELSE 'empty' END AS met FROM events),
