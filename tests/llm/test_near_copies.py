@@ -3,12 +3,12 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.brute import odd_documents
 from tests.llm.test_passages import runs_shared
 from themeloom.llm import near_copies as op
+from themeloom.llm import passages
 from themeloom.session import materialize
 
 
@@ -73,14 +73,61 @@ def test_pipeline_stages(spark, sf):
     assert shared and all(cut.get(d) != single[d] for d in shared)
 
 
-def test_crowded_bucket(spark, monkeypatch):
-    # every node in one bucket: what a round's node doesn't link is still compared
-    signatures = op.signatures
-    monkeypatch.setattr(op, "signatures", lambda docs: signatures(docs).withColumn(
-        "bands", F.array(F.lit(0).cast("long"))))
-    texts = {d: t for d, t in edited().items() if d < 30}
+def test_crowded_bands(spark):
+    """Many unlike texts share most of their words; pairs stay few and near copies are found."""
+    draw = random.Random(9)
+    common = [f"c{i}" for i in range(120)]
+    texts = {}
+    for i in range(400):
+        own = [f"o{draw.randrange(10 ** 6)}" for _ in range(45)]
+        texts[2 * i] = " ".join([*common, *own])
+        own[draw.randrange(40)] = "other"
+        if i % 4 == 0:
+            texts[2 * i + 1] = " ".join([*common, *own])
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id for r in op.keep_one(docs).collect()} == set(least_ids(texts).values())
+    pairs = op.candidates(materialize(op.signatures(docs)))
+    assert pairs.count() <= len(texts) * op.BANDS * op.NEAREST
+    kept = {r.doc_id for r in op.keep_one(docs).collect()}
+    want = set(least_ids(texts).values())
+    assert want <= kept and len(kept - want) <= 0.02 * len(texts)
+
+
+def test_recall_of_near_copies(spark):
+    """Planted pairs from 0.8 to 0.95, beside a large group of near copies."""
+    draw = random.Random(2)
+    texts, pairs = {}, []
+    base = [f"g{i}" for i in range(150)]
+    for i in range(300):
+        own = list(base)
+        own[draw.randrange(150)] = f"x{i}"
+        texts[i] = " ".join(own)
+    for changes in (1, 2, 3, 4):
+        for _ in range(60):
+            own = [f"w{draw.randrange(10 ** 6)}" for _ in range(200)]
+            other = list(own)
+            for at in draw.sample(range(200), changes):
+                other[at] = f"new{draw.randrange(10 ** 6)}"
+            first = len(texts)
+            texts[first], texts[first + 1] = " ".join(own), " ".join(other)
+            if len(shingles(texts[first]) & shingles(texts[first + 1])) >= 0.8 * len(
+                    shingles(texts[first]) | shingles(texts[first + 1])):
+                pairs.append(first + 1)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in op.keep_one(docs).collect()}
+    assert kept & set(range(300)) == {0}
+    assert len(pairs) > 200 and sum(d in kept for d in pairs) <= 0.01 * len(pairs)
+
+
+def test_repeated_ids(spark):
+    """Different texts with one id are rows of their own; equal rows are one."""
+    unlike = [" ".join(f"{c}{i}" for i in range(120)) for c in "abc"]
+    rows = [(1, unlike[0]), (1, unlike[1]), (1, unlike[1]), (2, unlike[2]), (3, unlike[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, op.keep_one(docs).collect())) == sorted(
+        [(1, unlike[0]), (1, unlike[1]), (2, unlike[2])])
+    texts = [(1, unlike[0]), (2, f"{unlike[0]} {unlike[1]}"), (2, unlike[2])]
+    cut = passages.cut_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert (2, unlike[2]) in map(tuple, cut) and (1, unlike[0]) in map(tuple, cut)
 
 
 @pytest.mark.parametrize("empty", [False, True])

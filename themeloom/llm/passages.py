@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.scan import mix, runs, word_hashes, words
-from themeloom.llm.tables import by_id, documents, keyed_texts, query, slices
+from themeloom.llm.tables import documents, free_name, keyed_texts, query, slices
 from themeloom.session import materialize
 
 SEED_WORDS = 5
@@ -434,6 +434,12 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS,
     ``other_id`` is a lesser doc_id that holds the passage too, ``similarity`` the share of equal
     words in the longer of both.
     """
+    return text_passages(docs, least_words, similarity).drop("text_hash")
+
+
+def text_passages(docs: DataFrame, least_words: int = LEAST_WORDS,
+                  similarity: float = SIMILARITY) -> DataFrame:
+    """The same with ``text_hash`` of the text that a doc_id was read with."""
     pairs = materialize(anchors(docs, least_words))
     texts = keyed_texts(docs).filter("doc_id is not null")
     named = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
@@ -443,7 +449,8 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS,
     texts = texts.join(F.broadcast(buckets), bucket == F.col("bucket"), "left_semi")
     texts = materialize(texts.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     other = texts.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
-    both = pairs.join(other, "other_id").join(texts, "doc_id")
+    both = pairs.join(other, "other_id").join(texts, "doc_id").withColumn(
+        "text_hash", F.xxhash64("text"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -466,14 +473,14 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS,
             first, n, second, m, equal = (pa.array(c, pa.int32()) for c in columns)
             share = [p.equal / max(p.words, p.other_words) for p in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(index), first, n,
+                [batch.column("doc_id").take(index), batch.column("text_hash").take(index), first, n,
                  batch.column("other_id").take(index), second, m, equal,
                  pa.array(share, pa.float64())],
-                names=["doc_id", "start_word", "n_words", "other_id", "other_start",
+                names=["doc_id", "text_hash", "start_word", "n_words", "other_id", "other_start",
                        "other_words", "equal_words", "similarity"])
 
-    return both.mapInArrow(align, "doc_id long, start_word int, n_words int, other_id long, "
-                                  "other_start int, other_words int, equal_words int, "
+    return both.mapInArrow(align, "doc_id long, text_hash long, start_word int, n_words int, "
+                                  "other_id long, other_start int, other_words int, equal_words int, "
                                   "similarity double")
 
 
@@ -497,13 +504,17 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the passages that a document of lesser id holds too.
 
-    The first document keeps a passage.  Documents of which no word is left go; all others stay,
+    The first document keeps a passage.  Of different texts with one doc_id one is read and cut, the
+    others stay whole.  Documents of which no word is left go; all others stay,
     with the columns of ``docs``; where a text was cut, ``n_chars`` counts what is left of it.
     """
-    spans = materialize(shared_passages(docs, **options).groupBy("doc_id").agg(
+    spans = materialize(text_passages(docs, **options).groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.struct("start_word", "n_words")).alias("spans")))
-    marked = by_id(docs, spans, "left")
-    kept, listed = docs.columns, marked.columns[-1]
+    id_, text_hash, listed = (free_name(docs, c) for c in ("cut_id", "cut_hash", "cut_spans"))
+    spans = spans.toDF(id_, text_hash, listed)
+    marked = docs.join(spans, (docs["doc_id"].cast("long") == spans[id_]) & (
+        F.xxhash64(docs["text"]) == spans[text_hash]), "left")
+    kept = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
