@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,29 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Paths of the tables that are written inside the block, to ``remove`` when they've been read."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+def remove(spark: SparkSession, paths: Sequence[str], but: DataFrame | None = None) -> None:
+    """Remove tables, except those that ``but`` reads."""
+    read = "\n".join(but.inputFiles()) if but is not None else ""
+    for name in paths:
+        if name.rsplit("/", 1)[-1] not in read:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan over it.
 
@@ -38,6 +63,8 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
