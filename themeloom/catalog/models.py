@@ -320,28 +320,19 @@ def _probs_sql(temperature: float = 1.0) -> str:
          FROM qg GROUP BY doc_id)"""
 
 
-_SCORES: dict[tuple[str, str], object] = {}
-
-
 def _scored(spark, sf):
-    """(doc_id, logits, target, truth, category, source) of all documents.
-
-    Trained and written once in a session for all queries that read it.
-    """
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SCORES:
-        docs = labelled(spark, sf)
-        block = word_block((), 1)
-        counts = features.count_terms(docs, [block], keep=["label"])
-        model = linear.train_naive_bayes(docs, [block], counts=counts)
-        names = F.array(*[F.lit(c) for c in CLASSES])
-        about = table(spark, sf, "documents").select(
-            "doc_id", F.col("source").alias("category"), F.col("lang").alias("source"))
-        _SCORES[key] = materialize(model.logits(docs, keep=["label"], counts=counts).join(
-            about, "doc_id").select(
-                "doc_id", "logits", F.col("label").alias("truth"), "category", "source",
-                (F.array_position(names, F.col("label")) - 1).cast("int").alias("target")))
-    return _SCORES[key]
+    """(doc_id, logits, target, truth, category, source) of all documents, trained and written."""
+    docs = labelled(spark, sf)
+    block = word_block((), 1)
+    counts = features.count_terms(docs, [block], keep=["label"])
+    model = linear.train_naive_bayes(docs, [block], counts=counts)
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    about = table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("category"), F.col("lang").alias("source"))
+    return materialize(model.logits(docs, keep=["label"], counts=counts).join(
+        about, "doc_id").select(
+            "doc_id", "logits", F.col("label").alias("truth"), "category", "source",
+            (F.array_position(names, F.col("label")) - 1).cast("int").alias("target")))
 
 
 def _tops(spark, sf, temperature=1.0):
