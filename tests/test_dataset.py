@@ -11,7 +11,7 @@ from themeloom.operators import dataset, similarity
 from themeloom.operators.dataset import Taxonomy
 from themeloom.plans import build
 from themeloom.sources import cards as card_files
-from themeloom.sources import provenance
+from themeloom.sources import json_arrays, provenance
 
 
 def card_rows(spark, rows):
@@ -140,6 +140,49 @@ def test_card_files(spark, tmp_path):
         card_files.read_cards(spark, str(tmp_path))
 
 
+def test_split_card_files(spark, tmp_path):
+    """One file read in byte ranges of 500 bytes gives what a parser of the whole file gives."""
+    names = K.CARD_KEYS
+    odd = ['brace } in { text', 'quote \\" } "', 'back\\\\slash\\', 'a, ] [ b', '}', 'ünï ] ☕ }{',
+           'line\nbreak', ""]
+    cards = [dict(zip(names, (f"k{i}", odd[i % 8] * (i % 5), odd[(i + 3) % 8]), strict=True),
+                  more={"inner": [{"x": odd[i % 8]}, {}]} if i % 3 else []) for i in range(60)]
+    (tmp_path / "one.json").write_text(json.dumps(cards, ensure_ascii=False, indent=1), "utf-8")
+    (tmp_path / "two.json").write_text(json.dumps(cards[:7]), "utf-8")
+    (tmp_path / "none.json").write_text(" [ ] ", "utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = json_arrays.read_arrays(spark, str(tmp_path)).collect()
+        ranges = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert ranges > 10 and {r.state for r in rows} == {"object"}
+    got = {n: [json.loads(r.value) for r in sorted(rows, key=lambda r: r.position)
+               if r.path.endswith(n)] for n in ("one.json", "two.json", "none.json")}
+    assert got == {"one.json": cards, "two.json": cards[:7], "none.json": []}
+
+
+def test_card_problems(spark, tmp_path):
+    whole = json.dumps([dict.fromkeys(K.CARD_KEYS, "x")] * 3)
+    for name, value in {
+            "good": whole, "object": '{"not": {"a": "list"}}', "number": "3", "empty": "",
+            "blank": " ", "cut": whole[:-1], "cut_inside": whole[:-9], "broken": "{broken",
+            "comma": whole[:-1] + ",]", "no_comma": whole.replace("}, {", "} {"),
+            "twice": whole + whole, "scalar": whole[:-1] + ", 3]", "scalars": "[1, 2]",
+            "nested": f"[{whole}]", "first": "[3, " + whole[1:],
+            "lacks": whole.replace(K.CARD_KEYS[2], "other", 1)}.items():
+        write_json(tmp_path, f"{name}.json", value)
+    got = {r.path.rsplit("/", 1)[1][:-5]: r for r in
+           card_files.card_problems(spark, str(tmp_path)).collect()}
+    assert {n for n, r in got.items() if r.problem == "corrupt"} == {
+        "empty", "blank", "cut", "cut_inside", "broken", "comma", "no_comma", "twice"}
+    assert {n: r.lacking for n, r in got.items() if r.problem == "fields"} == {
+        "scalar": list(K.CARD_KEYS), "scalars": list(K.CARD_KEYS), "nested": list(K.CARD_KEYS),
+        "first": list(K.CARD_KEYS), "lacks": [K.CARD_KEYS[2]]}
+    assert got["lacks"].position == 0
+
+
 def test_paragraphs_and_splits(spark, tmp_path):
     raw = tmp_path / "raw" / "deep"
     raw.mkdir(parents=True)

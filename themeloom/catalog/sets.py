@@ -17,6 +17,7 @@ from themeloom.operators.dataset import RECORD_COLUMNS
 from themeloom.plans import build
 from themeloom.session import materialize, run_folder
 from themeloom.sources import cards as card_files
+from themeloom.sources import provenance
 
 _SQUEEZED = f"trim({rr('text', '\\s+', ' ')})"
 _GROUP = (f"array_to_string(list_transform({words(norm('term'))}, "
@@ -300,6 +301,36 @@ def card_files_read(spark, sf):
         "category", "term", F.md5("definition").alias("digest"))
 
 
+@query("""WITH f AS (SELECT doc_id, lang || source || '/' || doc_id // 100 AS file,
+    doc_id // 100 % 7 = 0 AS cut FROM documents)
+  SELECT 'corrupt' AS problem, NULL AS lacking, count(DISTINCT file) AS n FROM f WHERE cut
+    HAVING count(*) > 0
+  UNION ALL SELECT 'fields', 'aciklama', count(*) FROM f WHERE NOT cut AND doc_id % 13 = 0
+    HAVING count(*) > 0""")
+def card_file_problems(spark, sf):
+    """All documents written as card files, some cut off and some cards without a definition."""
+    category, term, definition = K.CARD_KEYS
+    part = F.floor(F.col("doc_id") / 100)
+    card = F.struct(F.col("category").alias(category), F.col("term").alias(term),
+                    F.when(F.col("doc_id") % 13 > 0, F.col("definition")).alias(definition))
+    arrays = cards(spark, sf).groupBy("category", part.alias("part")).agg(
+        F.to_json(F.collect_list(card)).alias("value")).select(
+            F.when(F.col("part") % 7 > 0, F.col("value")).otherwise(
+                F.substr("value", F.lit(1), F.length("value") - 1)).alias("value"))
+    folder = _one_per_file(arrays, _folder(spark))
+    return card_files.card_problems(spark, folder, pattern="*.txt").groupBy(
+        "problem", F.array_join("lacking", " ").alias("lacking")).agg(
+            F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {SPLITS_SQL} SELECT '0123456789ab' AS version, count(*) FILTER (WHERE split = 'train')
+    AS train, count(*) FILTER (WHERE split = 'val') AS val,
+    count(*) FILTER (WHERE split = 'ood_val') AS ood_val FROM sp""")
+def training_data_info(spark, sf):
+    """Data version and split sizes, as the record of a training keeps them."""
+    return provenance.dataset_info(_splits(spark, sf), "0123456789abcdef")
+
+
 @query("SELECT 'docs' AS source, md5(text) AS digest, count(*) AS n FROM documents GROUP BY ALL")
 def paragraph_files_read(spark, sf):
     """All documents written as question-answering files and read back."""

@@ -12,6 +12,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from themeloom import constants as K
 from themeloom.functions import text
 from themeloom.operators.dataset import RECORD_COLUMNS
+from themeloom.session import materialize
+from themeloom.sources.json_arrays import CORRUPT, OBJECT, OTHER, read_arrays
 
 logger = logging.getLogger(__name__)
 
@@ -22,33 +24,45 @@ class DatasetError(RuntimeError):
     """Input is missing or not of the expected form."""
 
 
+def _checked(spark: SparkSession, folder: str, keys: Sequence[str], pattern: str) -> DataFrame:
+    """Elements of all files with the required fields that each lacks (all, if it is no object)."""
+    items = materialize(read_arrays(spark, folder, pattern))
+    wanted = F.array(*[F.lit(k) for k in keys])
+    present = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
+    return items.withColumn("lacking", F.when(F.col("state") == OBJECT, F.filter(
+        wanted, lambda k: ~F.array_contains(present, k))).when(F.col("state") == OTHER, wanted))
+
+
+def card_problems(spark: SparkSession, folder: str, keys: Sequence[str] = K.CARD_KEYS,
+                  pattern: str = "*.json") -> DataFrame:
+    """(path, position, problem, lacking): corrupt files, by their first corrupt place, and every
+    card without a required field."""
+    items = _checked(spark, folder, keys, pattern)
+    corrupt = items.filter(F.col("state") == CORRUPT).groupBy("path").agg(
+        F.min("position").alias("position"), F.lit("corrupt").alias("problem"),
+        F.lit(None).cast("array<string>").alias("lacking"))
+    fields = items.filter(F.size("lacking") > 0).join(corrupt.select("path"), "path", "left_anti")
+    return corrupt.unionByName(fields.select(
+        "path", "position", F.lit("fields").alias("problem"), "lacking"))
+
+
 def read_cards(spark: SparkSession, folder: str, keys: Sequence[str] = K.CARD_KEYS,
                expected: int | None = None, pattern: str = "*.json") -> DataFrame:
     """(path, position, category, term, definition) from a folder of JSON-array files.
 
-    A file is one array; each is read whole by one task, files in parallel.  Corrupt files and
-    cards without a required field raise; a payload that is no array is skipped.  (path,
-    position) is the original order.
+    Files are split among tasks (``json_arrays``).  Corrupt files and cards without a required
+    field raise; a payload that is no array is skipped.  (path, position) is the original order.
     """
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("_json")))
-    corrupt = files.filter(F.json_array_length("_json").isNull()
-                           & F.json_object_keys("_json").isNull()
-                           & F.try_parse_json("_json").isNull())
-    bad = corrupt.select("path").first()
+    items = _checked(spark, folder, keys, pattern)
+    bad = items.filter(F.col("state") == CORRUPT).select("path").first()
     if bad:
         raise DatasetError(f"corrupt JSON file: {bad.path}")
-    items = files.filter(F.json_array_length("_json").isNotNull()).select(
-        "path", F.posexplode(F.from_json("_json", "array<string>")).alias("position", "_card"))
-    present = F.json_object_keys("_card")
-    lacking = items.withColumn("_lacking", F.filter(
-        F.array(*[F.lit(k) for k in keys]), lambda k: ~F.array_contains(present, k)))
-    bad = lacking.filter(F.coalesce(F.size("_lacking") > 0, F.lit(True))).select(
-        "path", "_lacking").first()
+    bad = items.filter(F.size("lacking") > 0).select("path", "lacking").first()
     if bad:
-        raise DatasetError(f"{bad.path}: missing fields {bad._lacking}")
+        raise DatasetError(f"{bad.path}: missing fields {bad.lacking}")
+    items = items.filter(F.col("state") == OBJECT)
     schema = StructType([StructField(k, StringType()) for k in keys])
-    parsed = items.select("path", "position", F.from_json("_card", schema).alias("c"))
+    parsed = items.select("path", "position", F.from_json("value", schema).alias("c"))
     names = ("category", "term", "definition")
     cards = parsed.select("path", "position", *[
         text.strip(F.coalesce(F.col(f"c.`{k}`"), F.lit("None"))).alias(n)
