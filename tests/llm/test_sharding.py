@@ -41,6 +41,25 @@ def test_copies_of_one_row(spark):
     assert len(got) == len(rows) and len(check(got, texts, 4)) == 4
 
 
+def test_hot_text(spark, monkeypatch):
+    """Half of the rows are empty texts, few bytes in all; no task sorts more than its bound."""
+    monkeypatch.setattr(op, "RANGE_ROWS", 500)
+    docs = spark.range(12000).selectExpr(
+        "id as doc_id", "if(id % 2 = 0, '', repeat(string(id), 40)) as text")
+    rows = op.keyed(docs)
+    total = rows.agg({"size": "sum"}).first()[0]
+    cells = op.ranged(rows, 24, total).groupBy("range", "part", "hot", "piece").count().collect()
+    assert max(c["count"] for c in cells) <= 2 * 500 and any(c.hot is not None for c in cells)
+    got = op.shard(docs, 4).collect()
+    check(got, {r.doc_id: r.text for r in docs.collect()}, 4)
+    # 48,000 of 1.2 million bytes are more than a hundredth of a shard, so the copies may be parted,
+    # but they stay neighbours: they lie in one stretch of the order
+    assert len({r.shard for r in got if r.size == 8}) <= 2
+    few = op.shard(spark.range(12000).selectExpr(
+        "id as doc_id", "if(id % 2 = 0, '', repeat(string(id), 4000)) as text"), 4).collect()
+    assert len({r.shard for r in few if r.size == 8}) == 1  # below a hundredth: together
+
+
 def test_ranges_hold_the_order(spark):
     docs = spark.range(2000).selectExpr("id as doc_id", "repeat('x', int(id % 50)) as text")
     rows = op.keyed(docs)

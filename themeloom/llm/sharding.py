@@ -2,8 +2,9 @@
 
 Rows are ordered by a hash of their text, then of their id, then by row, so that equal texts are
 neighbours and still can be parted.  A sample in which a row's chance follows its size gives the
-splitters: every so many draws one.  Splitters cut the order into ranges; a range that turned out
-larger than its share is subdivided.  The sizes of the ranges give each the place where it begins,
+splitters: every so many draws one, counted inside stretches of the order.  Splitters cut the order
+into ranges; a range that turned out larger than its share is subdivided, and so are the rows of one
+text that are larger than that by themselves: many short copies fill no range by their bytes.  The sizes of the ranges give each the place where it begins,
 and running sums inside the ranges give every row its place in the whole; equal stretches of the
 whole are the shards.  Rows of equal text go with the
 middle of them all, unless they fill more than a hundredth of a shard.  So shard sizes differ by no
@@ -57,15 +58,18 @@ def splitters(rows: DataFrame, ranges: int, total: int) -> DataFrame:
     """
     chance = F.pmod(F.xxhash64(F.col("row"), F.lit(SEED)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     share = F.col("size") * F.lit(ranges * DRAWS / total)
-    order = Window.orderBy("k1", "k2", "row")
-    chosen = (rows.filter(chance < share).select(_bin().alias("bin"), "k1", "k2", "row")
-              .withColumn("n", F.row_number().over(order)).filter(F.col("n") % DRAWS == 0))
+    drawn = materialize(rows.filter(chance < share).select(_bin().alias("bin"), "k1", "k2", "row"))
+    lower = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = drawn.groupBy("bin").agg(F.count("*").alias("n")).select(
+        "bin", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("ahead"))  # a row for each bin
+    order = Window.partitionBy("bin").orderBy("k1", "k2", "row")
+    chosen = drawn.withColumn("n", F.row_number().over(order)).join(ahead, "bin").filter(
+        (F.col("n") + F.col("ahead")) % DRAWS == 0)
     own = chosen.groupBy("bin").agg(
         F.sort_array(F.collect_list(F.struct("k1", "k2", "row"))).alias("keys"))
     bins = rows.sparkSession.range(BINS).select(F.col("id").cast("int").alias("bin")).join(
         own, "bin", "left")
     n = F.coalesce(F.size("keys"), F.lit(0))
-    lower = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     count = F.when(F.col("keys").isNull(), 0).otherwise(n)
     return bins.withColumn("count", count).select(
         "bin", F.coalesce(F.sum("count").over(lower), F.lit(0)).alias("before"), "keys", "count")
@@ -87,7 +91,11 @@ def _not_above(steps: int) -> Column:
 
 
 def ranged(rows: DataFrame, ranges: int, total: int) -> DataFrame:
-    """``rows`` with their range, and the part of it where the range is overfull."""
+    """``rows`` with their range, and the part of it where the range is overfull.
+
+    Parts follow the text's hash.  A text that overfills a range by itself is ``hot``: its rows come
+    after the others of their part, dealt out evenly to ``piece``, and carry its ``hot_bytes``.
+    """
     cuts = splitters(rows, ranges, total)
     found = rows.withColumn("bin", _bin()).join(cuts, "bin").withColumn(
         "range", F.col("before") + _not_above(ranges.bit_length() + 1)).drop(
@@ -98,22 +106,23 @@ def ranged(rows: DataFrame, ranges: int, total: int) -> DataFrame:
                        F.ceil(F.col("n") / F.lit(2 * RANGE_ROWS)), F.lit(1))
     full = found.groupBy("range").agg(
         F.sum("size").alias("bytes"), F.count("*").alias("n"),
-        *[f(k).cast("double").alias(f"{name}_{k}") for k in ("k1", "k2")
-          for f, name in ((F.min, "least"), (F.max, "most"))])
-    ends = [f"{name}_{k}" for k in ("k1", "k2") for name in ("least", "most")]
-    full = full.select("range", parts.cast("int").alias("parts"), *ends).filter("parts > 1")
-
-    def along(k: str) -> Column:
-        """Place of a key between the least and the most of its range, from 0 to 1; keys are
-        hashes, so this parts them evenly and in order."""
-        return (F.col(k) - F.col(f"least_{k}")) / (F.col(f"most_{k}") - F.col(f"least_{k}"))
-
-    place = F.when(F.col("least_k1") < F.col("most_k1"), along("k1")).when(
-        F.col("least_k2") < F.col("most_k2"), along("k2")).otherwise(
-            F.pmod(F.xxhash64("row"), F.lit(1024)) / 1024)
-    part = F.least(F.floor(place * F.col("parts")), F.col("parts") - 1).cast("int")
-    return found.join(full, "range", "left").withColumn(
-        "part", F.coalesce(part, F.lit(0))).drop("parts", *ends)
+        F.min("k1").cast("double").alias("least"), F.max("k1").cast("double").alias("most"))
+    full = materialize(full.select("range", parts.cast("int").alias("parts"), "least", "most")
+                       .filter("parts > 1"))
+    # only rows of overfull ranges are counted by text
+    hot = found.join(full.select("range"), "range", "left_semi").groupBy("range", "k1").agg(
+        F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    hot = hot.select("range", "k1", F.col("bytes").alias("hot_bytes"),
+                     parts.cast("int").alias("pieces")).filter("pieces > 1")
+    # the place of a hash between the least and the most of its range, which parts texts evenly
+    place = (F.col("k1") - F.col("least")) / (F.col("most") - F.col("least"))
+    part = F.when(F.col("least") < F.col("most"), F.least(
+        F.floor(place * F.col("parts")), F.col("parts") - 1)).cast("int")
+    piece = F.pmod(F.xxhash64("row", F.lit(SEED + 1)), F.col("pieces")).cast("int")
+    return found.join(full, "range", "left").join(hot, ["range", "k1"], "left").withColumns({
+        "part": F.coalesce(part, F.lit(0)), "piece": F.coalesce(piece, F.lit(0)),
+        "hot": F.when(F.col("pieces").isNotNull(), F.col("k1"))}).drop(
+            "parts", "least", "most", "pieces")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -123,20 +132,29 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total, n = whole[0] or 1, whole[1]
     ranges = max(RANGES_PER_SHARD * shards, -(-n // RANGE_ROWS))
     rows = materialize(ranged(rows, ranges, total))
-    order = Window.partitionBy("range", "part").orderBy("k1", "k2", "row")
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("range", "part").agg(
+    cell = ["range", "part", "hot", "piece"]  # rows without a hot text come first
+    before = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("range", "part", "hot")
+    cells = rows.groupBy(*cell).agg(
         F.sum("size").alias("bytes"), F.count("*").alias("n")).select(
-            "range", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes"),
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+            *cell, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes"),
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n")).withColumn(
+                "begin", F.min("bytes").over(same))
+    cells = cells.select(*[F.col(c).alias(f"c_{c}") for c in cell], "bytes", "n", "begin")
+    order = Window.partitionBy(*cell).orderBy("k1", "k2", "row")
     inside = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.lit(True)
+    for c in cell:
+        at = at & F.col(c).eqNullSafe(F.col(f"c_{c}"))
     placed = rows.withColumn("upto", inside).withColumn(
-        "rank", F.row_number().over(order)).join(cells, ["range", "part"])
+        "rank", F.row_number().over(order)).join(cells, at)
     # equal texts stay together by the middle of them all, unless they are too much for that
-    equal = Window.partitionBy("range", "part", "k1")
-    own = F.sum("size").over(equal)
+    equal = Window.partitionBy(*cell, "k1")
+    own = F.coalesce(F.col("hot_bytes"), F.sum("size").over(equal))
+    end = F.when(F.col("hot").isNull(), F.max("upto").over(equal)).otherwise(
+        F.col("begin") - F.col("bytes") + F.col("hot_bytes"))
     middle = F.when(own <= F.lit(int(total / shards * TOGETHER)),
-                    F.max("upto").over(equal) - F.floor(own / 2)).otherwise(
+                    end - F.floor(own / 2)).otherwise(
                         F.col("upto") - F.floor(F.col("size") / 2))
     number = F.expr(f"cast(least({shards - 1}, ((bytes + middle) * {shards}) div {total}) as int)")
     placed = placed.withColumn("middle", middle.cast("long") - 1)
