@@ -117,10 +117,34 @@ def test_near_copies_against_brute_force(spark):
     for threshold in (0.5, 0.8, 0.9, 0.97):
         expected = {i: any(sum(v * r.get(t, 0) for t, v in vector(grams(q)).items()) >= threshold
                            - 1e-9 for r in vectors) for i, q in enumerate(asked)}
-        got = {r.id: r.near_copy for r in similarity.near_copies(ref, query, threshold).collect()}
+        postings = 1 if threshold in (0.8, 0.97) else similarity.POSTINGS  # all terms cut up, none
+        got = {r.id: r.near_copy for r in similarity.near_copies(
+            ref, query, threshold, postings=postings).collect()}
         assert got == expected
 
 
+def test_candidates_hold_every_close_pair(spark):
+    """Random unit vectors over few terms, so that all terms are common."""
+    import numpy as np
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        terms = np.sort(draw.choice(30, size=draw.integers(1, 12), replace=False))
+        w = draw.random(len(terms)) + 0.05
+        rows.append((f"k{i}", terms.tolist(), (w / np.sqrt((w * w).sum())).tolist()))
+        moved = w * (1 + 0.3 * draw.random(len(w)))
+        rows.append((f"m{i}", terms.tolist(), (moved / np.sqrt((moved * moved).sum())).tolist()))
+    vectors = spark.createDataFrame(rows, "key string, terms array<long>, w array<double>")
+    maps = {k: dict(zip(t, w, strict=True)) for k, t, w in rows}
+    for threshold in (0.6, 0.9):
+        close = {(a, b) for a, x in maps.items() for b, y in maps.items()
+                 if sum(v * y.get(t, 0.0) for t, v in x.items()) >= threshold}
+        found = [sorted(similarity.candidates(vectors, vectors, threshold, postings).collect())
+                 for postings in (7, 10_000)]
+        assert found[0] == found[1]  # pieces change nothing
+        assert len(set(found[0])) == len(found[0]) and close <= {(r.qid, r.rid) for r in found[0]}
+
+
 def write_json(folder, name, value):
     (folder / name).write_text(value if isinstance(value, str) else json.dumps(
         value, ensure_ascii=False), encoding="utf-8")
