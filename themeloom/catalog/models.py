@@ -12,7 +12,7 @@ from themeloom.catalog.common import (
     query, table, texts, tfidf, word_counts,
 )
 from themeloom.functions import decisions as D
-from themeloom.operators import calibration, features, linear, metrics, softmax
+from themeloom.operators import batches, calibration, features, linear, metrics, softmax
 from themeloom.operators.features import word_block
 from themeloom.plans import build, evaluate
 from themeloom.session import materialize, run_folder
@@ -189,6 +189,59 @@ def softmax_language(spark, sf):
     return out.select("doc_id", "argmax", F.round("confidence", 6).alias("confidence"))
 
 
+_BATCHES, _EPOCHS = 2, 2
+
+
+def _adam_ctes() -> str:
+    """CTEs aw<i>, ab<i> after each step: Adam over seeded batches, untouched terms as they were."""
+    first, second, rate = batches.FIRST, batches.SECOND, batches.ADAM_RATE
+
+    def moments(step: int, g: str) -> str:
+        m, v = f"({first} * m + {1 - first} * ({g}))", f"({second} * v + {1 - second} * ({g}) ** 2)"
+        return (f"- {rate} * ({m} / {1 - first ** step}) / (sqrt({v} / {1 - second ** step}) + "
+                f"{batches.EPSILON}) AS change, {m} AS m1, {v} AS v1")
+
+    ctes = """
+  aw0 AS (SELECT term, label, 0::DOUBLE AS w, 0::DOUBLE AS m, 0::DOUBLE AS v FROM sv CROSS JOIN sk),
+  ab0 AS (SELECT label, 0::DOUBLE AS b, 0::DOUBLE AS m, 0::DOUBLE AS v FROM sk)"""
+    for i in range(1, _BATCHES * _EPOCHS + 1):
+        j, epoch, batch = i - 1, (i - 1) // _BATCHES + 1, (i - 1) % _BATCHES
+        ctes += f""",
+  ar{i} AS MATERIALIZED (SELECT * FROM sr WHERE ('0x' || substr(md5('{batches.SEED}|{epoch}|' ||
+    doc_id), 1, 8))::BIGINT % {_BATCHES} = {batch}),
+  ae{i} AS MATERIALIZED (SELECT doc_id, label, share / (SELECT sum(share) FROM ar{i}) *
+      (e / sum(e) OVER (PARTITION BY doc_id) - (label = truth)::INT) AS r
+    FROM (SELECT *, exp(z - max(z) OVER (PARTITION BY doc_id)) AS e FROM
+      (SELECT d.*, b.label, b.b + coalesce(s, 0) AS z FROM ar{i} d CROSS JOIN ab{j} b LEFT JOIN
+        (SELECT doc_id, label, sum(weight * w) AS s FROM sx JOIN aw{j} USING (term) GROUP BY ALL) q
+        ON q.doc_id = d.doc_id AND q.label = b.label))),
+  ab{i} AS MATERIALIZED (SELECT label, b + change AS b, m1 AS m, v1 AS v FROM
+    (SELECT *, {moments(i, 'g')} FROM ab{j} JOIN (SELECT label, sum(r) AS g FROM ae{i}
+      GROUP BY label) USING (label))),
+  aw{i} AS MATERIALIZED (SELECT term, label, CASE WHEN g IS NULL THEN w ELSE w + change END AS w,
+      CASE WHEN g IS NULL THEN m ELSE m1 END AS m, CASE WHEN g IS NULL THEN v ELSE v1 END AS v
+    FROM (SELECT *, {moments(i, f'g + {K.SOFTMAX_L2} * w')} FROM aw{j} LEFT JOIN
+      (SELECT term, label, sum(weight * r) AS g FROM sx JOIN ae{i} USING (doc_id) GROUP BY ALL)
+      USING (term, label)))"""
+    return ctes
+
+
+@query(f"""WITH {_softmax_ctes('true', 0)}, {_adam_ctes()}
+  SELECT term, label, round(w, 6) + 0.0 AS w FROM aw{_BATCHES * _EPOCHS} UNION ALL
+  SELECT '', label, round(b, 6) + 0.0 FROM ab{_BATCHES * _EPOCHS}""")
+def adam_batches(spark, sf):
+    """Weights and bias after two epochs of two batches each."""
+    docs = _language_docs(spark, sf)
+    rows = docs.count()
+    model = batches.train_in_batches(docs, [_PLAIN], _EPOCHS, batch_size=-(-rows // _BATCHES))
+    names = F.array(*[F.lit(c) for c in model.classes])
+    bias = spark.range(1).select(F.lit("").alias("term"), F.array(
+        *[F.lit(b) for b in model.bias]).alias("w"))
+    return model.terms.select("term", "w").unionByName(bias).select(
+        "term", F.explode(F.arrays_zip(names.alias("label"), F.col("w"))).alias("e")).select(
+            "term", "e.label", (F.round("e.w", 6) + F.lit(0.0)).alias("w"))
+
+
 _STEPS = 8
 _CURVE = "".join(f""", {_softmax_scores(f'vp{i}', 'vl', 'vx', i)},
   vt{i} AS (SELECT vl.label AS tr, arg_min(p.label, {{'a': -p, 'b': p.label}}) AS pred
