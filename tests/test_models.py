@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeloom.functions import decisions as D
-from themeloom.operators import calibration, features, keywords, linear, metrics, softmax, splitting
+from themeloom.operators import (
+    batches, calibration, features, keywords, linear, metrics, softmax, splitting,
+)
 from themeloom.operators.features import Ngrams
 from themeloom.sources import model_store
 
@@ -167,6 +169,24 @@ def test_a_step_follows_the_gradient(spark, tiny):
         assert all(got[t] == pytest.approx([w[t, 0], w[t, 1]]) for t in terms)
 
 
+def test_batches_of_adam(spark, tiny, monkeypatch):
+    fitted = features.fit(tiny, [plain()])
+    results = []
+    for merge in (1, 16):  # merging the tables of steps early changes nothing
+        monkeypatch.setattr(batches, "MERGE", merge)
+        trainer = batches.BatchTrainer(tiny, fitted, batch_size=2)
+        assert trainer.batches == 2
+        (_, model), = trainer.steps(1)
+        results.append({r.term: list(r.w) for r in model.terms.collect()})
+    assert results[0] == results[1]
+    assert {len(w) for w in results[0].values()} == {2}
+    dealt = [r.b for r in spark.range(1000).select(
+        batches.batch_of(F.col("id"), 1, 4).alias("b")).collect()]
+    assert set(dealt) == {0, 1, 2, 3} and all(200 < dealt.count(b) < 300 for b in range(4))
+    model = softmax.train_softmax(tiny, [plain()], 3, trainer=batches.BatchTrainer, rate=0.1)
+    assert [r.argmax for r in linear.decisions(model, tiny).orderBy("doc_id").collect()] == LABELS
+
+
 def test_early_stop():
     values = {1: .1, 2: .5, 3: .4, 4: .4, 5: .9}
     models = ((i, f"m{i}") for i in values)

@@ -233,7 +233,8 @@ def adam_batches(spark, sf):
     """Weights and bias after two epochs of two batches each."""
     docs = _language_docs(spark, sf)
     rows = docs.count()
-    model = batches.train_in_batches(docs, [_PLAIN], _EPOCHS, batch_size=-(-rows // _BATCHES))
+    model = softmax.train_softmax(docs, [_PLAIN], _EPOCHS, trainer=batches.BatchTrainer,
+                                  batch_size=-(-rows // _BATCHES))
     names = F.array(*[F.lit(c) for c in model.classes])
     bias = spark.range(1).select(F.lit("").alias("term"), F.array(
         *[F.lit(b) for b in model.bias]).alias("w"))

@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from themeloom.operators import features
-from themeloom.operators.features import Ngrams
 from themeloom.operators.joins import seeded_order
 from themeloom.operators.linear import TopicModel
 from themeloom.operators.softmax import SoftmaxTrainer
@@ -66,7 +64,7 @@ def _latest(tables: Sequence[DataFrame], terms: DataFrame | None = None) -> Data
 
 
 class BatchTrainer(SoftmaxTrainer):
-    """``steps`` gives the model after each epoch; arguments besides these as the base's."""
+    """``steps`` gives the model after each epoch; other arguments as the base's."""
 
     def __init__(self, labelled: DataFrame, *args, batch_size: int = BATCH_SIZE,
                  rate: float = ADAM_RATE, seed: int = SEED, **options):
@@ -148,16 +146,3 @@ class BatchTrainer(SoftmaxTrainer):
             "w", F.coalesce("w", unmoved))
         return TopicModel(tuple(self.vectorizer.blocks), self.vectorizer.n_docs,
                           materialize(terms), self.classes, bias)
-
-
-def train_in_batches(labelled: DataFrame, blocks: Sequence[Ngrams], epochs: int,
-                     id_col: str = "doc_id", text_col: str = "text", label_col: str = "label",
-                     **options) -> TopicModel:
-    """The model after ``epochs`` epochs."""
-    counts = features.count_terms(labelled, blocks, id_col, text_col)
-    vectorizer = features.fit(labelled, blocks, id_col, text_col, counts)
-    trainer = BatchTrainer(labelled, vectorizer, id_col, text_col, label_col, counts=counts,
-                           **options)
-    for _, model in trainer.steps(epochs):
-        pass
-    return model

@@ -116,12 +116,13 @@ class SoftmaxTrainer:
 
 def train_softmax(labelled: DataFrame, blocks: Sequence[Ngrams], epochs: int,
                   id_col: str = "doc_id", text_col: str = "text", label_col: str = "label",
-                  l2: float = K.SOFTMAX_L2, **options) -> TopicModel:
-    """The model after ``epochs`` steps."""
+                  l2: float = K.SOFTMAX_L2, trainer: type[SoftmaxTrainer] = SoftmaxTrainer,
+                  **options) -> TopicModel:
+    """The model after ``epochs`` steps of a trainer."""
     counts = features.count_terms(labelled, blocks, id_col, text_col)
     vectorizer = features.fit(labelled, blocks, id_col, text_col, counts)
-    trainer = SoftmaxTrainer(labelled, vectorizer, id_col, text_col, label_col, l2, counts=counts,
-                             **options)
-    for _, model in trainer.steps(epochs):
+    steps = trainer(labelled, vectorizer, id_col, text_col, label_col, l2, counts=counts,
+                    **options).steps(epochs)
+    for _, model in steps:
         pass
     return model

@@ -40,9 +40,12 @@ def macro_f1(model: TopicModel, rows: DataFrame, labels: Sequence[str], id_col:
 def train(records: DataFrame, labels: Sequence[str], blocks: Sequence[Ngrams] | None = None,
           id_col: str = "doc_id", text_col: str = "text", other: str = K.OTHER_LABEL,
           epochs: int = K.SOFTMAX_MAX_EPOCHS,
-          alpha: float = K.NB_ALPHA, commit: str | None = None) -> Training:
+          alpha: float = K.NB_ALPHA, commit: str | None = None,
+          trainer: type[SoftmaxTrainer] = SoftmaxTrainer) -> Training:
     """``records`` hold the splits train, val and ood_val; test data is never read.
 
+    ``trainer`` is full-batch descent or ``batches.BatchTrainer``.
+
     Naive Bayes and softmax regression meet on validation macro F1 (softmax wins ties); the
     chosen model's temperature comes from val, its threshold from val and ood_val, and it is then
     fitted again on train and val together.
@@ -59,10 +62,10 @@ def train(records: DataFrame, labels: Sequence[str], blocks: Sequence[Ngrams] |
     unknown = part["val"].filter(~F.col("label").isin(*bayes.classes)).select("label").first()
     if unknown:
         raise ValueError(f"validation has a class that train lacks: {unknown.label}")
-    trainer = SoftmaxTrainer(part["train"], vectorizer, id_col, text_col, counts=counts)
+    fitting = trainer(part["train"], vectorizer, id_col, text_col, counts=counts)
     tried = features.count_terms(part["val"], blocks, id_col, text_col)
     best_epochs, softmax, history = early_stop(
-        trainer.steps(epochs), lambda m: macro_f1(m, part["val"], labels, id_col, text_col, tried))
+        fitting.steps(epochs), lambda m: macro_f1(m, part["val"], labels, id_col, text_col, tried))
     scores = {"naive_bayes": macro_f1(bayes, part["val"], labels, id_col, text_col, tried),
               "softmax": max(v for _, v in history)}
     use_softmax = scores["softmax"] >= scores["naive_bayes"]
@@ -82,7 +85,7 @@ def train(records: DataFrame, labels: Sequence[str], blocks: Sequence[Ngrams] |
 
     whole = part["train"].unionByName(part["val"])
     if use_softmax:
-        final = train_softmax(whole, blocks, best_epochs, id_col, text_col)
+        final = train_softmax(whole, blocks, best_epochs, id_col, text_col, trainer=trainer)
     else:
         final = linear.train_naive_bayes(whole, blocks, alpha, True, id_col, text_col)
     final = final.with_decision(temperature, threshold)
