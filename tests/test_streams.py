@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from themeloom.operators import replay
 from themeloom.streaming.cooldown import stream_cooldown
 from themeloom.streaming.running import running_themes
@@ -97,3 +98,14 @@ def test_running_themes_equal_the_recurrence(spark, tmp_path, monkeypatch, idle)
             {s.name: pytest.approx(s.score, abs=1e-12) for s in r.scores})
     want = recurrence(batches, .6, idle)
     assert any(w[2] for w in want.values()) and got == want
+
+
+def test_cooldown_query_reads_deliveries_of_many_files(spark, sf, tmp_path):
+    """Each file of a delivery spans all of its days; no row may be left out as late."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(8).write.parquet(f"{tmp_path}/events.parquet")
+    queries = entry.queries()
+    want = queries["cooldown_suppress"](spark, sf).collect()
+    got = queries["stream_cooldown_suppress"](spark, str(tmp_path)).collect()
+    assert len(got) == events.count()
+    assert {tuple(r.asDict().items()) for r in got} == {tuple(r.asDict().items()) for r in want}
