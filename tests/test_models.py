@@ -358,3 +358,29 @@ def test_words_are_handed_on_in_parts():
     assert len(parts) > 1 and rows == [tuple(r.values()) for b in whole for r in b.to_pylist()]
     assert rows == [(7, "aa", 1), (9, "cc", 2), (9, "aa", 1), (9, "cc aa", 1), (9, "aa cc", 1)]
     assert [r["k"] for b in lists for r in b.to_pylist()] == [7, 8, 9]
+
+
+def test_groups_name_each_term_once(spark, tiny, monkeypatch):
+    """Documents of several groups: a term's numbers add up to its df, and sums to the weights'."""
+    monkeypatch.setattr(features, "LEAST_GROUP", 8)
+    block = plain()
+    counts = features.count_terms(tiny, [block], keep=["label"])
+    counted = counts[block.name]
+    assert counted.docs.select("_group").distinct().count() > 1
+    rows = counted.terms.collect()
+    assert len({(r["_group"], r.term) for r in rows}) == len(rows)
+    plainly = {r.term: r.df for r in features.document_frequency(
+        features.term_counts(tiny, block)).collect()}
+    fitted = features.fit(tiny, [block], counts=counts)
+    assert {r.term: r.df for r in fitted.vocabulary.collect()} == plainly
+
+    def added(vectors):
+        out = {}
+        for r in vectors.collect():
+            out[r.label, r.term] = out.get((r.label, r.term), 0.0) + r.weight
+        return out
+
+    whole = added(features.fit(tiny, [block]).transform(tiny, keep=["label"]))
+    summed = added(fitted.sums(tiny, "label", counts=counts))
+    assert whole.keys() == summed.keys()
+    assert all(abs(whole[k] - summed[k]) < 1e-12 for k in whole)

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from themeloom.operators.joins import seeded_order
 from themeloom.operators.linear import TopicModel
-from themeloom.operators.softmax import SoftmaxTrainer
+from themeloom.operators.softmax import SoftmaxTrainer, class_weights
 from themeloom.session import materialize
 
 BATCH_SIZE = 256
@@ -72,6 +72,20 @@ class BatchTrainer(SoftmaxTrainer):
         self.batch_size, self.seed = batch_size, seed
         self.batches = max(1, -(-self.rows.count() // batch_size))
 
+    def _read(self, labelled, id_col, text_col, label_col, counts) -> None:
+        """Written vectors (_id, analyzer, term, _x) and rows (_id, _share, _y)."""
+        self.vectors = materialize(self.vectorizer.transform(
+            labelled, id_col, text_col, counts=counts).select(
+                F.col(id_col).alias("_id"), "analyzer", "term", F.col("weight").alias("_x")))
+        names = F.array(*[F.lit(c) for c in self.classes])
+        # class weights over their sum, which is the number of rows
+        n_rows = labelled.count()
+        shares = class_weights(labelled, label_col).select(
+            label_col, (F.col("weight") / F.lit(n_rows)).alias("_share"))
+        self.rows = materialize(labelled.select(F.col(id_col).alias("_id"), label_col).join(
+            shares, label_col).select("_id", "_share", F.transform(
+                names, lambda c: (c == F.col(label_col)).cast("double")).alias("_y")))
+
     def _dealt(self, table: DataFrame, epoch: int) -> DataFrame:
         """Written in a folder for each batch, so that a step reads its own rows."""
         files = F.pmod(F.xxhash64("_id"), F.lit(1 + self.batch_size // FILE_ROWS))
