@@ -145,6 +145,41 @@ def test_candidates_hold_every_close_pair(spark):
         assert len(set(found[0])) == len(found[0]) and close <= {(r.qid, r.rid) for r in found[0]}
 
 
+def test_near_copies_write_little(spark):
+    """Nothing is written for each text and n-gram: tables stay within a few times the texts."""
+    import numpy as np
+    from pathlib import Path
+
+    from themeloom.session import recorded
+    draw = np.random.default_rng(5)
+    words = ["".join(draw.choice(list("abcdefghijklmnop"), draw.integers(3, 9))) for _ in range(3000)]
+    refs = [" ".join(draw.choice(words, 250)) for _ in range(300)]
+    asked = [*(f"{t} {words[i]}" for i, t in enumerate(refs[:60])),
+             *(" ".join(draw.choice(words, 250)) for _ in range(60))]
+    with recorded() as tables:
+        got = {r.id: r.near_copy for r in similarity.near_copies(
+            spark.createDataFrame([(t,) for t in refs], "text string"),
+            spark.createDataFrame(list(enumerate(asked)), "id int, text string")).collect()}
+    assert got == {i: i < 60 for i in range(120)}
+    written = sum(f.stat().st_size for t in tables
+                  for f in Path(t.removeprefix("file:")).rglob("*.parquet"))
+    assert written < 5 * sum(map(len, refs + asked))
+
+
+def test_hashed_grams_are_the_counted_ones():
+    from themeloom.functions import chargrams
+    texts = ["ab cde  fghij", "", "x", "güneş güneş enerji", "ab cde  fghij"]
+    counted = [{} for _ in texts]
+    for row, gram, n in chargrams.count_grams(texts, 3, 5):
+        for r, g, k in zip(row.tolist(), gram.tolist(), n.tolist(), strict=True):
+            counted[r][g] = k
+    hashed = list(chargrams.hashed_grams(texts, 3, 5))
+    assert [sorted(n.tolist()) for _, n in hashed] == [sorted(c.values()) for c in counted]
+    everything = {g for c in counted for g in c}
+    assert len({h for hs, _ in hashed for h in hs.tolist()}) == len(everything)
+    assert hashed[0][0].tolist() == hashed[4][0].tolist()
+
+
 def write_json(folder, name, value):
     (folder / name).write_text(value if isinstance(value, str) else json.dumps(
         value, ensure_ascii=False), encoding="utf-8")
