@@ -138,3 +138,22 @@ def test_odd_rows(spark, empty):
     texts = {} if empty else {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     want = set(least_ids(texts).values()) | ({None} if texts else set())
     assert {r.doc_id for r in kept.collect()} == want and kept.count() == len(want)
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    """A long chain beside a star: few tables are written, also where links lie in many parts."""
+    from themeloom.llm import components as linked
+    from themeloom.session import recorded
+
+    draw = random.Random(6)
+    ids = draw.sample(range(10 ** 6), 3000)
+    edges = [*zip(ids[:2000], ids[1:2000]), *((i, ids[2000]) for i in ids[2000:])]
+    draw.shuffle(edges)
+    want = {i: min(part) for part in (ids[:2000], ids[2000:]) for i in part}
+    table = spark.createDataFrame(edges, "src long, dst long")
+    for local, most in ((1 << 14, 2), (700, 13)):
+        monkeypatch.setattr(linked, "LOCAL", local, raising=False)
+        with recorded() as tables:
+            roots = linked.components(table).collect()
+        assert len(roots) == len(want) and dict(roots) == want
+        assert len(tables) <= most
