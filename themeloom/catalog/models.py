@@ -557,8 +557,10 @@ def label_union(spark, sf):
 def written_reports(spark, sf):
     """Reports written as tables and read back."""
     folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
-    build.write_report({"per_class": metrics.class_report(_pairs(spark, sf), LABELS),
-                        "status": metrics.status_counts(_decided_rows(spark, sf))}, folder)
+    rows = _tops(spark, sf)     # trained and scored once for both
+    build.write_report({
+        "per_class": metrics.class_report(metrics.pair_counts(rows, "true", "top"), LABELS),
+        "status": metrics.status_counts(_decided_rows(rows))}, folder)
     per_class = spark.read.json(f"{folder}/per_class").select(
         F.lit("per_class").alias("report"), "label", F.round("f1", 6).alias("value"))
     status = spark.read.json(f"{folder}/status").select(
@@ -655,8 +657,7 @@ def _decisions_sql() -> str:
     END AS status FROM pr JOIN documents d USING (doc_id))"""
 
 
-def _decided_rows(spark, sf):
-    s = _tops(spark, sf)
+def _decided_rows(s):
     d = D.decide(F.col("top"), F.col("confidence"), 0.4, OTHER, "unsure")
     return s.withColumns({"status": d["status"], "argmax": F.col("top"), "general": F.col("true"),
                           "label": D.metric_label(d["status"], d["label"], OTHER)})
@@ -664,13 +665,13 @@ def _decided_rows(spark, sf):
 
 @query(f"""WITH {_decisions_sql()} SELECT status, count(*) AS n FROM dd GROUP BY status""")
 def status_counts(spark, sf):
-    return metrics.status_counts(_decided_rows(spark, sf))
+    return metrics.status_counts(_decided_rows(_tops(spark, sf)))
 
 
 @query(f"""WITH {_decisions_sql()} SELECT count(*) AS n,
   round(1 - avg((status = 'ok')::INT), 4) AS rejected_rate FROM dd""")
 def ood_rejection(spark, sf):
-    return metrics.rejection(_decided_rows(spark, sf))
+    return metrics.rejection(_decided_rows(_tops(spark, sf)))
 
 
 @query(f"""WITH {_decisions_sql()} SELECT category, round(avg((status = 'ok')::INT), 3)
@@ -678,7 +679,7 @@ def ood_rejection(spark, sf):
   LIMIT 3""")
 def worst_categories(spark, sf):
     """The categories with most false accepts (a top-k report)."""
-    return metrics.worst_categories(_decided_rows(spark, sf), limit=3)
+    return metrics.worst_categories(_decided_rows(_tops(spark, sf)), limit=3)
 
 
 @query(f"""WITH {_decisions_sql()} SELECT source, count(*) AS n, 'en' AS target,
@@ -686,7 +687,7 @@ def worst_categories(spark, sf):
   round(avg((top = 'en' AND status = 'ok')::INT), 4) AS recall_with_threshold FROM dd
   GROUP BY source""")
 def external_recall(spark, sf):
-    rows = _decided_rows(spark, sf).withColumn("general", F.lit("en"))
+    rows = _decided_rows(_tops(spark, sf)).withColumn("general", F.lit("en"))
     return metrics.source_recall(rows)
 
 
