@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from themeloom.catalog import QUERIES
+from themeloom.catalog import QUERIES, sets
 from themeloom.session import recorded
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_written_reports_train_once(spark, sf):
     with recorded() as once:
@@ -12,3 +14,16 @@ def test_written_reports_train_once(spark, sf):
     with recorded() as tables:
         QUERIES["written_reports"](spark, sf).collect()
     assert len(tables) == len(once)
+
+
+def test_card_files_that_are_not_cut_hold_many_cards(spark, monkeypatch):
+    written = []
+
+    def spy(rows, folder, write=sets._one_per_file):
+        written.append(rows)
+        return write(rows, folder)
+
+    monkeypatch.setattr(sets, "_one_per_file", spy)
+    QUERIES["card_file_problems"](spark, SF).collect()
+    whole = written[0].filter("value like '%]'")
+    assert whole.count() <= 80  # one for each category

@@ -28,13 +28,14 @@ def _path(name: str) -> Column:
     return F.regexp_replace(name, "^([a-z0-9]+):/+", "$1:/").alias("path")
 
 
-def _fragments(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """(path, block, id, value, ends, element) for every piece before a brace.
+def _fragments(files: DataFrame) -> DataFrame:
+    """(path, length, block, id, value, ends, element) for every piece before a brace.
 
-    ``ends`` tells whether the brace ends an element; ``element`` counts the ends before it.
+    ``ends`` tells whether the brace ends an element; ``element`` counts the ends before it;
+    ``length`` is the file's.
     """
-    raw = spark.read.option("lineSep", "}").option("pathGlobFilter", pattern).text(folder).select(
-        _path("_metadata.file_path"),
+    raw = files.select(
+        _path("_metadata.file_path"), F.col("_metadata.file_size").alias("length"),
         # as text in the order of numbers: a file has few byte ranges, which need no levels
         F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0").alias("block"),
         F.monotonically_increasing_id().alias("id"), "value")
@@ -53,11 +54,11 @@ def _fragments(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     within = running_total(raw, ["path"], "block", [F.col("id")], F.col("odd"), "before",
                            inclusive=False)
     inside = F.col("before") % 2 == 1
-    steps = within.select("path", "block", "id", "value",
+    steps = within.select("path", "length", "block", "id", "value",
                           ((F.col("before") + F.col("odd")) % 2 == 0).alias("cut"),
                           F.when(inside, F.col("in")).otherwise(F.col("out")).alias("step"))
     levels = running_total(steps, ["path"], "block", [F.col("id")], F.col("step"), "level")
-    ends = levels.select("path", "block", "id", "value",
+    ends = levels.select("path", "length", "block", "id", "value",
                          (F.col("cut") & (F.col("level") == 1)).alias("ends"))
     return running_total(ends, ["path"], "block", [F.col("id")], F.col("ends").cast("int"),
                          "element", inclusive=False)
@@ -72,14 +73,12 @@ def read_arrays(spark: SparkSession, folder: str, pattern: str = "*.json") -> Da
     whose end is missing and an empty file.  An empty array has no row.  Elements after a corrupt
     one aren't told apart reliably.
     """
-    listed = spark.read.option("pathGlobFilter", pattern).text(folder)
+    # the folder is listed once, however many files it has
+    listed = spark.read.option("lineSep", "}").option("pathGlobFilter", pattern).text(folder)
     # a scan leaves empty files out, the list that it was planned with doesn't
-    names = spark.createDataFrame([(name,) for name in listed.inputFiles()], "path string").select(
+    files = spark.createDataFrame([(name,) for name in listed.inputFiles()], "path string").select(
         _path("path"))
-    sizes = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-             .select(_path("_metadata.file_path"), "length"))
-    files = names.join(sizes, "path", "left")
-    fragments = materialize(_fragments(spark, folder, pattern))
+    fragments = materialize(_fragments(listed))
     piece = F.struct("block", "id", "value")
 
     def joined(pieces: str) -> Column:
@@ -92,7 +91,8 @@ def read_arrays(spark: SparkSession, folder: str, pattern: str = "*.json") -> Da
     about = fragments.groupBy("path").agg(
         F.min_by("value", F.struct("block", "id")).alias("first"),
         F.max_by("ends", F.struct("block", "id")).alias("open"),
-        (F.sum(F.octet_length("value")) + F.count(F.lit(1))).alias("bytes"))
+        (F.sum(F.octet_length("value")) + F.count(F.lit(1))).alias("bytes"),
+        F.max("length").alias("length"))
     about = files.join(about, "path", "left").select(
         "path", F.coalesce(F.col("first").rlike(r"^\s*\["), F.lit(False)).alias("is_array"),
         F.coalesce("open", F.lit(True)).alias("open"),
