@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from themeloom.catalog import QUERIES, sets
 from themeloom.session import recorded
 
@@ -22,6 +24,13 @@ def test_leakage_counts_write_no_texts(spark, sf):
     assert tables and all("text" not in spark.read.parquet(t).columns for t in tables)
 
 
+def test_near_copy_rate_keeps_only_its_splits(spark, sf):
+    with recorded() as tables:
+        QUERIES["near_copy_rate"](spark, sf).collect()
+    left = [t for t in tables if os.path.exists(t)]
+    assert left and all("category" not in spark.read.parquet(t).columns for t in left)
+
+
 def test_card_files_that_are_not_cut_hold_many_cards(spark, monkeypatch):
     written = []
 
