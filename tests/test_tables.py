@@ -31,6 +31,18 @@ def test_near_copy_rate_keeps_only_its_splits(spark, sf):
     assert left and all("category" not in spark.read.parquet(t).columns for t in left)
 
 
+def test_near_copy_rate_splits_without_texts(spark, sf, monkeypatch):
+    columns = []
+
+    def spy(records, *args, split=sets.dataset.split_records, **named):
+        columns.extend(records.columns)
+        return split(records, *args, **named)
+
+    monkeypatch.setattr(sets.dataset, "split_records", spy)
+    QUERIES["near_copy_rate"](spark, sf)
+    assert "key" in columns and "text" not in columns
+
+
 def test_card_files_that_are_not_cut_hold_many_cards(spark, monkeypatch):
     written = []
 
