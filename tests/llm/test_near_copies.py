@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -9,6 +10,7 @@ from tests.llm.brute import odd_documents
 from tests.llm.test_passages import runs_shared
 from themeloom.llm import near_copies as op
 from themeloom.llm import passages
+from themeloom.llm.scan import mix
 from themeloom.session import materialize
 
 
@@ -92,6 +94,31 @@ def test_crowded_bands(spark):
     assert want <= kept and len(kept - want) <= 0.02 * len(texts)
 
 
+def test_crowded_bands_are_compared_whole(spark, monkeypatch):
+    """With four bands of one minimal hash most pairs only share crowded bands; all are compared, in
+    however many blocks a band meets."""
+    draw = random.Random(9)
+    common = [f"c{i}" for i in range(150)]
+    texts = {}
+    for i in range(100):
+        own = [f"o{draw.randrange(10 ** 6)}" for _ in range(42)]
+        texts[2 * i] = " ".join([*common, *own])
+        for at in (5, 15, 25, 35):
+            own[at] = f"p{draw.randrange(10 ** 6)}"
+        texts[2 * i + 1] = " ".join([*common, *own])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+    def minimal(shingles, first):
+        return np.stack([np.minimum.reduceat(mix(shingles ^ np.uint64(j)), first[:-1])
+                         for j in range(4)], axis=1)
+
+    monkeypatch.setattr(op, "BANDS", 4)
+    monkeypatch.setattr(op, "bands_of", minimal)
+    monkeypatch.setattr(op, "BLOCK", 20, raising=False)
+    assert {r.doc_id for r in op.keep_one(docs).collect()} == set(range(0, 200, 2)) == set(
+        least_ids(texts).values())
+
+
 def test_recall_of_near_copies(spark):
     """Planted pairs from 0.8 to 0.95, beside a large group of near copies."""
     draw = random.Random(2)
