@@ -413,3 +413,35 @@ def test_corpus_weights_write_texts_alone(spark, sf):
                   for f in Path(t.removeprefix("file:")).rglob("*.parquet"))
     texts = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("sum(length(text))").first()[0]
     assert written < 2.5 * texts
+
+
+def test_hashed_groups_train_the_same_model(spark, monkeypatch):
+    """Model, scores and totals out of hashed groups are those of the tables of terms, and no table
+    of terms is exchanged: terms travel as lists of hashes, those of one group not at all."""
+    monkeypatch.setattr(features, "LEAST_GROUP", 64)
+    docs = spark.createDataFrame(
+        [(i, f"common words {'often' if i % 2 else 'seldom'} seen w{i}x w{i // 2}y again w{i}x",
+          "abc"[i % 3]) for i in range(40)] + [(40, None, "a"), (41, "", "b"), (41, "common words", "b")],
+        "doc_id long, text string, label string")
+    block = features.word_block(())
+    plain = features.count_terms(docs, [block], keep=["label"])
+    hashed = features.hash_terms(docs, [block], keep=["label"])
+    assert hashed["word"].docs.select("_group").distinct().count() > 4
+    lists = hashed["word"].shared.filter("_group >= 0").selectExpr("explode(terms) as t")
+    terms = {r.term: r for r in linear.train_naive_bayes(docs, [block], counts=plain).terms.collect()}
+    assert 0 < lists.distinct().count() < len(terms) == hashed["word"].n_terms
+    models = [linear.train_naive_bayes(docs, [block], counts=c) for c in (plain, hashed)]
+    got = models[1].terms.collect()
+    assert len(got) == len(terms) and {r.term for r in got} == set(terms)
+    for r in got:
+        assert r.df == terms[r.term].df and r.w == pytest.approx(terms[r.term].w, abs=1e-9)
+    scores = [sorted((r.doc_id, tuple(round(z, 8) for z in r.logits)) for r in m.logits(
+        docs, counts=c).collect()) for m, c in zip(models, (plain, hashed), strict=True)]
+    assert scores[0] == scores[1] and len(scores[0]) == 43
+    totals = {(r.term, r.label): r.total for r in linear.term_totals(
+        hashed["word"], ["a", "b", "c"]).collect()}
+    fitted = features.fit(docs, [block], counts=plain)
+    want = {(r.term, "abc"[i]): t for r in linear.class_totals(
+        fitted.sums(docs, "label", counts=plain), ["a", "b", "c"]).collect()
+        for i, t in enumerate(r.totals) if t > 0}
+    assert totals == pytest.approx(want, abs=1e-9)
