@@ -63,7 +63,7 @@ def nb_predict(spark, sf):
     """Train on all documents, decide every whole document."""
     docs = labelled(spark, sf)
     block = word_block(())
-    counts = features.count_terms(docs, [block], keep=["label"])
+    counts = features.hash_terms(docs, [block], keep=["label"])
     model = linear.train_naive_bayes(docs, [block], counts=counts).with_decision(
         1.0, MIN_CONFIDENCE)
     out = linear.decisions(model, docs, other=OTHER, counts=counts)
