@@ -54,3 +54,33 @@ def test_card_files_that_are_not_cut_hold_many_cards(spark, monkeypatch):
     QUERIES["card_file_problems"](spark, SF).collect()
     whole = written[0].filter("value like '%]'")
     assert whole.count() <= 80  # one for each category
+
+
+def test_shuffle_files_of_finished_steps_are_let_go(spark, monkeypatch):
+    import time
+
+    from themeloom import session
+    from themeloom.operators import similarity
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+
+    def files():
+        return manager.diskBlockManager().getAllFiles().size()
+
+    def settled(most):
+        until = time.time() + 30
+        while files() > most and time.time() < until:
+            time.sleep(0.2)
+        return files() <= most
+
+    session.sweep(spark)
+    time.sleep(2)
+    before = files()
+    session.materialize(spark.range(1000).repartition(7))
+    assert files() > before
+    session.sweep(spark)
+    assert settled(before)
+    asked = []
+    monkeypatch.setattr(similarity, "sweep", lambda s: asked.append(s))
+    docs = spark.createDataFrame([(1, "one text of some words"), (2, "another one")], "id long, text string")
+    assert similarity.near_copies(docs, docs).count() == 2 and len(asked) == 2
